@@ -6,6 +6,8 @@ from parasol.plans.registry import ORACLES, QUERIES
 
 for _module in (
     "rollup_queries",
+    "document_queries",
+    "function_queries",
 ):
     importlib.import_module(f"parasol.plans.{_module}")
 

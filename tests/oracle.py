@@ -7,9 +7,12 @@ import decimal
 import math
 import sys
 import time
+from pathlib import Path
 
 import duckdb
 
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
 from parasol.sources.views import RAW_TABLES
 
 
@@ -93,7 +96,6 @@ def main(prefixes: list[str], sf: str = "0.01") -> int:
 
 
 if __name__ == "__main__":
-    sys.path.insert(0, ".")
     args = sys.argv[1:]
     scale = args.pop(0)[3:] if args and args[0].startswith("sf=") else "0.01"
     sys.exit(main(args, scale))
