@@ -130,7 +130,7 @@ def _carry_last(probes, fact_rows, keys, probe_at, fields, ttl, width):
 def with_previous(df: DataFrame, keys: list[str], at: str, tie: str, fields: list[str],
                   width: int = DAY) -> DataFrame:
     """Add ``prev_<field>`` from the row before, by (at, tie) within the key."""
-    row = F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"), *[F.col(f).alias(f) for f in fields])
+    row = F.struct(F.col(at).alias("_at"), F.col(tie).alias("_tie"), *[F.col(f).alias(f) for f in fields])
     cells = df.withColumn("_cell", cell_start(at, width))
     across = Window.partitionBy(*keys).orderBy("_cell")
     base = _carried(

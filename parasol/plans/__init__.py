@@ -8,6 +8,9 @@ for _module in (
     "rollup_queries",
     "document_queries",
     "function_queries",
+    "signal_queries",
+    "dashboard_queries",
+    "pricing_queries",
 ):
     importlib.import_module(f"parasol.plans.{_module}")
 

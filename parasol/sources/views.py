@@ -88,6 +88,10 @@ SELECT c_custkey AS worker_id, c_name AS worker_name, z.pincode, z.city,
  CASE WHEN c_custkey % 11 = 0 THEN NULL
       ELSE CAST(200 + (c_custkey * 7) % 800 AS DOUBLE) / 10 END AS trust_score
 FROM {customer} JOIN {zone_pins} z ON c_nationkey = z.zone_idx""",
+    # Policies are held by the workers whose account is not overdrawn.
+    "policies": """
+SELECT w.worker_id, w.worker_name, w.plan, 'active' AS status
+FROM {workers} w JOIN {customer} k ON w.worker_id = k.c_custkey WHERE k.c_acctbal >= 0""",
     "claims": """
 SELECT o_orderkey AS claim_sk,
  concat('CLM-', CAST(year(o_orderdate)*10000 + month(o_orderdate)*100 + day(o_orderdate) AS STRING),
