@@ -11,6 +11,8 @@ for _module in (
     "signal_queries",
     "dashboard_queries",
     "pricing_queries",
+    "fraud_queries",
+    "source_queries",
 ):
     importlib.import_module(f"parasol.plans.{_module}")
 
