@@ -13,6 +13,7 @@ for _module in (
     "pricing_queries",
     "fraud_queries",
     "source_queries",
+    "warehouse_queries",
 ):
     importlib.import_module(f"parasol.plans.{_module}")
 
