@@ -14,6 +14,7 @@ for _module in (
     "fraud_queries",
     "source_queries",
     "warehouse_queries",
+    "stream_queries",
 ):
     importlib.import_module(f"parasol.plans.{_module}")
 
