@@ -15,6 +15,8 @@ for _module in (
     "source_queries",
     "warehouse_queries",
     "stream_queries",
+    "model_queries",
+    "extension_queries",
 ):
     importlib.import_module(f"parasol.plans.{_module}")
 
