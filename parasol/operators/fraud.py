@@ -17,6 +17,7 @@ from parasol.functions.numeric import as_col, clip, round_to, truthy_or
 from parasol.functions.temporal import day_text, is_odd_hour, seconds_between
 from parasol.functions.text import mentions_any
 from parasol.operators import signals
+from parasol.session import materialized
 
 WORKER_COLUMNS = [
     "worker_id", "worker_name", "pincode", "plan", "pan_number", "pan_verified", "platforms_csv",
@@ -134,9 +135,13 @@ def rule_signals(claims: DataFrame) -> DataFrame:
 def network_signals(claims: DataFrame) -> DataFrame:
     """(claim_sk, prior_hour, zones_before, others_on_device) for claims outside trap zones.
 
-    Claims from trap pincodes are blocked before they enter the history.
+    Claims from trap pincodes are blocked before they enter the history. The
+    five columns the signals read are written once, since each signal scans
+    them more than once.
     """
-    known = claims.where(~F.col("pincode").isin(HONEYPOT_PINCODES))
+    known = materialized(
+        claims.where(~F.col("pincode").isin(HONEYPOT_PINCODES)).select(
+            "claim_sk", "worker_id", "device_id", "pincode", "created_at"), "network")
     burst = signals.zone_burst(known, "pincode", "created_at", "claim_sk")
     zones = signals.zones_before(known, "worker_id", "pincode", "created_at", "claim_sk")
     device = signals.others_on_device(known, "device_id", "worker_id", "created_at", "claim_sk")

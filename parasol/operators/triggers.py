@@ -99,6 +99,11 @@ def _shaped(fired_rows: DataFrame) -> DataFrame:
     })
 
 
+def _worker_groups(workers: DataFrame) -> DataFrame:
+    """Workers counted by what their payout depends on."""
+    return workers.groupBy("pincode", "plan", "avg_daily_earning").agg(F.count(F.lit(1)).alias("n"))
+
+
 def payout_shapes(fired_rows: DataFrame, workers: DataFrame) -> DataFrame:
     """Claims and rupees one fired trigger of each distinct shape causes.
 
@@ -106,7 +111,7 @@ def payout_shapes(fired_rows: DataFrame, workers: DataFrame) -> DataFrame:
     meet, so the join grows with value combinations, not with rows.
     """
     shapes = _shaped(fired_rows).select(*_SHAPE).distinct()
-    groups = workers.groupBy("pincode", "plan", "avg_daily_earning").agg(F.count(F.lit(1)).alias("n"))
+    groups = _worker_groups(workers)
     amount = claim_amount("trigger_type", "avg_daily_earning", "plan", "_rain", "_duration", "_aqi")
     return shapes.join(groups, "pincode").groupBy(*_SHAPE).agg(
         F.sum("n").alias("claims_count"), F.sum(amount * F.col("n")).alias("payout_total"))
@@ -122,13 +127,19 @@ def trigger_events(fired_rows: DataFrame, workers: DataFrame) -> DataFrame:
 
 
 def payout_totals(fired_rows: DataFrame, workers: DataFrame, by: list[str]) -> DataFrame:
-    """Claims and rupees by the given columns, from shape counts alone."""
+    """Claims and rupees by the given columns, in one pass over the firings.
+
+    Firings are counted per shape before they meet the worker groups.
+    """
     counted = _shaped(fired_rows).groupBy(*_SHAPE).agg(F.count(F.lit(1)).alias("firings"))
-    joined = counted.join(payout_shapes(fired_rows, workers), _SHAPE)
-    return joined.groupBy(*by).agg(
+    groups = _worker_groups(workers)
+    amount = claim_amount("trigger_type", "avg_daily_earning", "plan", "_rain", "_duration", "_aqi")
+    per_shape = counted.join(groups, "pincode").groupBy(*_SHAPE, "firings").agg(
+        F.sum("n").alias("workers"), F.sum(amount * F.col("n")).alias("paid"))
+    return per_shape.groupBy(*by).agg(
         F.sum("firings").alias("firings"),
-        F.sum(F.col("firings") * F.col("claims_count")).alias("claims_count"),
-        F.sum(F.col("firings") * F.col("payout_total")).alias("payout_total"))
+        F.sum(F.col("firings") * F.col("workers")).alias("claims_count"),
+        F.sum(F.col("firings") * F.col("paid")).alias("payout_total"))
 
 
 def run_summary(evaluated: DataFrame, workers: DataFrame) -> DataFrame:
@@ -146,7 +157,7 @@ def what_if(workers: DataFrame) -> DataFrame:
     Workers are reduced to distinct payout values first; the five scenarios are
     columns of the same pass.
     """
-    groups = workers.groupBy("pincode", "plan", "avg_daily_earning").agg(F.count(F.lit(1)).alias("n"))
+    groups = _worker_groups(workers)
     e = F.col("avg_daily_earning")
     amounts = {
         "heavy_rain": rain_payout(e, F.lit(WHAT_IF_RAIN[0]), F.lit(WHAT_IF_RAIN[1]), "plan"),

@@ -58,3 +58,14 @@ def checkpointed(df):
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession) + "/checkpoints")
     return df.checkpoint(eager=True)
+
+
+def materialized(df, name: str):
+    """Write ``df`` once to the shared folder and read it back.
+
+    For narrow results that several branches of a plan read: they scan the
+    written columns instead of repeating the joins behind them.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -27,20 +27,22 @@ class ClaimHistory:
         self.devices = BatchTable(spark, f"{root}/device_pairs", DEVICE_PAIRS)
         self.zones = BatchTable(spark, f"{root}/zone_pairs", ZONE_PAIRS)
 
-    def append(self, located: DataFrame, batch_id: int) -> None:
-        """Record a batch's claims and the pairs it shows for the first time."""
-        known = _counted_claims(located)
-        self.filed.write(known, batch_id)
-        stamped = known.withColumn("at", micros("created_at"))
+    def file(self, located: DataFrame, batch_id: int) -> None:
+        """Record a batch's claims; the signals and pairs are read from what is written."""
+        self.filed.write(_counted_claims(located), batch_id)
+
+    def append_pairs(self, batch_id: int) -> None:
+        """Record the pairs the filed batch shows for the first time."""
+        stamped = self.filed.read_batch(batch_id).withColumn("at", micros("created_at"))
         for table, keys in ((self.devices, ["device_id", "worker_id"]), (self.zones, ["worker_id", "pincode"])):
             first = stamped.where(F.col(keys[0]).isNotNull()).groupBy(*keys).agg(
                 F.min(F.struct("at", "claim_sk")).alias("f")).select(*keys, "f.*")
             seen = table.read(before=batch_id).join(first.select(*keys), keys, "left_semi")
             table.write(first.join(seen.select(*keys), keys, "left_anti"), batch_id)
 
-    def signals(self, located: DataFrame, batch_id: int) -> DataFrame:
-        """(claim_sk, prior_hour, zones_before, others_on_device) of a batch against all earlier ones."""
-        known = _counted_claims(located)
+    def signals(self, batch_id: int) -> DataFrame:
+        """(claim_sk, prior_hour, zones_before, others_on_device) of a filed batch against all earlier ones."""
+        known = self.filed.read_batch(batch_id)
         burst = self._burst(known, batch_id)
         zones = self._prior(known, self.zones, "worker_id", "pincode", batch_id).select(
             "claim_sk", F.col("seen").alias("zones_before"))
