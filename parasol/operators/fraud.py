@@ -183,43 +183,48 @@ def assemble(claims: DataFrame, workers: DataFrame, photos: DataFrame | None = N
     ``network`` holds precomputed history signals (a stream brings its own);
     otherwise they are computed over ``claims`` itself.
     """
-    account = account_integrity(workers.select(*WORKER_COLUMNS))
-    rows = claims.join(account, "worker_id", "left")
+    if network is None:
+        located = claims.join(workers.select("worker_id", "pincode"), "worker_id")
+        network = network_signals(located)
+    # Joins on one key stand together, so that wide claim rows are shuffled once per key.
+    rows = claims.join(network, "claim_sk", "left")
     if photos is not None:
         meta = photos.select("claim_sk", "photo_ts", "exif_stripped", "gps_lat", "gps_lon",
                              F.lit(True).alias("has_photo_meta"))
         rows = rows.join(meta, "claim_sk", "left")
-        known = F.broadcast(coords.select("pincode", "lat", "lon"))  # the fixed list of known places
-        rows = rows.join(known, "pincode", "left").withColumn(
-            "photo_km", haversine_km("lat", "lon", "gps_lat", "gps_lon")).drop("lat", "lon")
-    else:
-        rows = rows.withColumns({"photo_ts": F.lit(None).cast("timestamp_ntz"), "exif_stripped": F.lit(False),
-                                 "has_photo_meta": F.lit(False), "photo_km": F.lit(None).cast("double")})
-    if weather is not None:
-        rows = rows.withColumn("day", day_text("created_at")).join(
-            weather.select("pincode", "day", "had_rain"), ["pincode", "day"], "left").drop("day")
-    else:
-        rows = rows.withColumn("had_rain", F.lit(None).cast("boolean"))
     if vision is not None:
-        rows = rows.join(vision, "claim_sk", "left")
-        seen = F.col("photo_submitted") & F.col("vision_used").isNotNull()
-    else:
-        rows = rows.withColumns({"authentic": F.lit(True), "verdict": F.lit(None).cast("string"),
-                                 "recommended_action": F.lit(None).cast("string"), "score_adjustment": F.lit(0)})
-        seen = F.lit(False)
-    rows = rows.withColumn("has_vision", F.coalesce(seen, F.lit(False)))
+        rows = rows.join(vision.select("claim_sk", "authentic", "verdict", "recommended_action", "score_adjustment",
+                                       "vision_used"), "claim_sk", "left")
+    account = account_integrity(workers.select(*WORKER_COLUMNS))
     if traces is not None:
-        verdicts = traces.where("spoofed").select(
+        account = account.join(traces.where("spoofed").select(
             F.col("trace_id").alias("worker_id"), F.col("confidence").alias("gps_confidence"),
-            F.lit(True).alias("gps_spoofed"))
-        rows = rows.join(verdicts, "worker_id", "left")
-    else:
-        rows = rows.withColumns({"gps_confidence": F.lit(0.0), "gps_spoofed": F.lit(False)})
-    rows = rows.withColumn("gps_spoofed", F.coalesce("gps_spoofed", F.lit(False)))
-    if network is None:
-        located = claims.join(workers.select("worker_id", "pincode"), "worker_id")
-        network = network_signals(located)
-    return rows.join(network, "claim_sk", "left")
+            F.lit(True).alias("gps_spoofed")), "worker_id", "left")
+    rows = rows.join(account, "worker_id", "left")
+    if weather is not None:
+        rows = rows.withColumn("day", day_text("created_at")).join(
+            weather.select("pincode", "day", "had_rain"), ["pincode", "day"], "left")
+    if photos is not None:
+        known = F.broadcast(coords.select("pincode", "lat", "lon"))  # the fixed list of known places
+        rows = rows.join(known, "pincode", "left")
+    have = set(rows.columns)
+
+    def given(name, kind, default=None):
+        value = F.col(name) if name in have else F.lit(None)
+        value = value.cast(kind)
+        return value if default is None else F.coalesce(value, F.lit(default))
+
+    distance = haversine_km("lat", "lon", "gps_lat", "gps_lon") if photos is not None else F.lit(None).cast("double")
+    return rows.withColumns({
+        "photo_km": distance,
+        "photo_ts": given("photo_ts", "timestamp_ntz"), "exif_stripped": given("exif_stripped", "boolean", False),
+        "has_photo_meta": given("has_photo_meta", "boolean", False), "had_rain": given("had_rain", "boolean"),
+        "authentic": given("authentic", "boolean", True), "verdict": given("verdict", "string"),
+        "recommended_action": given("recommended_action", "string"),
+        "score_adjustment": given("score_adjustment", "int", 0),
+        "has_vision": F.coalesce(F.col("photo_submitted") & given("vision_used", "boolean").isNotNull(), F.lit(False)),
+        "gps_confidence": given("gps_confidence", "double", 0.0), "gps_spoofed": given("gps_spoofed", "boolean", False),
+    })
 
 
 def is_honeypot(pincode="pincode") -> Column:

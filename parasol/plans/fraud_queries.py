@@ -105,11 +105,16 @@ lay AS (SELECT *, CASE WHEN trap THEN 'Layer 3 Proactive' ELSE coalesce(nullif(c
 """
 
 
-def assembled(t, claims=None, network=None):
+def side_inputs(t):
+    """Daily weather and trace verdicts, the two inputs that are themselves aggregates."""
+    return matching.daily_weather(t.past_readings), signals.trace_verdict(signals.gps_hops(t.gps_pings))
+
+
+def assembled(t, claims=None, network=None, sides=None):
+    weather, traces = sides or side_inputs(t)
     return fraud.assemble(
-        t.claims if claims is None else claims, t.workers, t.claim_photos, t.zone_coords,
-        matching.daily_weather(t.past_readings), parse_vision(t.vision_raw),
-        signals.trace_verdict(signals.gps_hops(t.gps_pings)), network)
+        t.claims if claims is None else claims, t.workers, t.claim_photos, t.zone_coords, weather,
+        parse_vision(t.vision_raw), traces, network)
 
 
 @query("l1_rule_signals", f"""

@@ -5,13 +5,13 @@ from pyspark.sql import functions as F
 from parasol.constants import TTL_SECONDS
 from parasol.functions.temporal import micros
 from parasol.operators import matching
-from parasol.plans.fraud_queries import LAYERS_SQL, assembled
+from parasol.plans.fraud_queries import LAYERS_SQL, assembled, side_inputs
 from parasol.plans.registry import query
 from parasol.plans.signal_queries import snapshots
-from parasol.session import scratch_path
+from parasol.session import materialized, scratch_path
 from parasol.sources import topics
 from parasol.sources.store import BatchTable
-from parasol.streaming import burst, dedup, outbox
+from parasol.streaming import burst, dedup, outbox, ttl
 from parasol.streaming.envelope import dead_letters, envelope, opened, unreadable
 from parasol.streaming.fraud_job import FraudJob, apply_to_claims, flag_increments
 from parasol.streaming.payout_job import PayoutJob
@@ -97,7 +97,10 @@ def k2b(t):
 
 def fraud_run(t):
     root = scratch_path(t.spark, "fraud")
-    job = FraudJob(t.spark, root, t.workers, lambda claims, network: assembled(t, claims, network))
+    # Aggregated once; every batch reads the written result.
+    sides = [materialized(df, name) for df, name in zip(side_inputs(t), ("weather", "traces"))]
+    job = FraudJob(t.spark, root, t.workers, lambda claims, network: assembled(t, claims, network, sides),
+                   period="yyyy")  # the landed slices span years
     t.spark.createDataFrame([], t.claims.schema).write.parquet(f"{root}/landed")
     source = t.spark.readStream.schema(t.claims.schema).parquet(f"{root}/landed")
     feed(t.claims, "created_at", YEAR_CUTS, f"{root}/landed", lambda: run_batches(source, job.handle, f"{root}/checkpoint"))
@@ -303,6 +306,27 @@ def k12(t):
         for kind, name in (("weather", "weather"), ("trigger", "trigger_result"), ("zone", "zone"))])
 
 
+@query("k12_ttl_state_stream", """
+SELECT r.reading_id, CASE WHEN epoch_us(r.ts) - epoch_us(s.ts) < 86400000000 THEN s.snapshot_id END AS snapshot_id
+FROM readings r ASOF LEFT JOIN (SELECT r.pincode, r.ts, r.reading_id AS snapshot_id FROM readings r JOIN events e ON e.event_id = r.reading_id AND e.event_type = 'view') s
+ ON r.pincode = s.pincode AND r.ts >= s.ts
+""")
+def k12b(t):
+    root = scratch_path(t.spark, "ttl")
+    kinds = t.events.select(F.col("event_id").alias("reading_id"), "event_type")
+    rows = t.readings.select("reading_id", "pincode", "ts").join(kinds, "reading_id")
+    lookup = ttl.LatestLookup(t.spark, root, key="pincode", fact="reading_id", seconds=TTL_SECONDS["zone"])
+    t.spark.createDataFrame([], rows.schema).write.parquet(f"{root}/landed")
+    source = t.spark.readStream.schema(rows.schema).parquet(f"{root}/landed")
+
+    def handle(batch, batch_id):
+        lookup.handle(batch.select("pincode", "ts", "reading_id"),
+                      batch.where("event_type = 'view'").select("pincode", "ts", "reading_id"), batch_id)
+
+    feed(rows, "ts", MONTH_CUTS, f"{root}/landed", lambda: run_batches(source, handle, f"{root}/checkpoint"))
+    return lookup.answers.read().select(F.col("probe_id").alias("reading_id"), F.col("fact_id").alias("snapshot_id"))
+
+
 def topic_rows(t):
     return topics.keyed(enveloped(t), F.concat(F.lit("events."), F.col("event_type")), "event_id", F.col("value"))
 

@@ -39,13 +39,24 @@ def empty(spark: SparkSession, schema: StructType | str) -> DataFrame:
 
 
 class BatchTable:
-    """Append-only table of one folder per micro-batch."""
+    """Append-only table of one folder per micro-batch.
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType | str):
-        self.spark, self.path, self.schema = spark, path, schema
+    ``by`` names columns that split each folder further, so that a filter on
+    them skips files.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType | str, by: tuple[str, ...] = ()):
+        self.spark, self.path, self.by = spark, path, by
+        self.schema = schema if isinstance(schema, StructType) else empty(spark, schema).schema
 
     def write(self, df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+        if self.by:
+            df = df.hint("rebalance", *self.by)  # one file per value, more only for a large one
+        df.write.mode("overwrite").partitionBy(*self.by).parquet(f"{self.path}/batch_id={batch_id}")
+
+    def _open(self, folders: list[str]) -> DataFrame:
+        reader = self.spark.read.schema(self.schema).option("basePath", self.path)
+        return reader.parquet(*folders).select(*self.schema.names)
 
     def read(self, before: int | None = None) -> DataFrame:
         """Rows of committed batches, those before ``before`` if given."""
@@ -53,10 +64,10 @@ class BatchTable:
                 if ok and (before is None or int(name.split("=")[1]) < before)]
         if not done:
             return empty(self.spark, self.schema)
-        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{name}" for name in done])
+        return self._open([f"{self.path}/{name}" for name in done])
 
     def read_batch(self, batch_id: int) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/batch_id={batch_id}")
+        return self._open([f"{self.path}/batch_id={batch_id}"])
 
 
 class VersionedTable:

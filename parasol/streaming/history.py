@@ -8,6 +8,8 @@ pass over all claims whenever batches arrive in order of time.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,20 +18,24 @@ from parasol.functions.temporal import micros
 from parasol.operators import scans, signals
 from parasol.sources.store import BatchTable
 
-FILED = "claim_sk bigint, worker_id bigint, pincode string, device_id string, created_at timestamp_ntz"
+FILED = "claim_sk bigint, worker_id bigint, pincode string, device_id string, created_at timestamp_ntz, period string"
 DEVICE_PAIRS = "device_id string, worker_id bigint, at bigint, claim_sk bigint"
 ZONE_PAIRS = "worker_id bigint, pincode string, at bigint, claim_sk bigint"
 
 
 class ClaimHistory:
-    def __init__(self, spark: SparkSession, root: str):
-        self.filed = BatchTable(spark, f"{root}/filed", FILED)
+    """``period`` is the date pattern filed claims are split by: a day where a batch spans minutes."""
+
+    def __init__(self, spark: SparkSession, root: str, period: str = "yyyy-MM-dd"):
+        self.period = period
+        self.filed = BatchTable(spark, f"{root}/filed", FILED, by=("period",))
         self.devices = BatchTable(spark, f"{root}/device_pairs", DEVICE_PAIRS)
         self.zones = BatchTable(spark, f"{root}/zone_pairs", ZONE_PAIRS)
 
     def file(self, located: DataFrame, batch_id: int) -> None:
         """Record a batch's claims; the signals and pairs are read from what is written."""
-        self.filed.write(_counted_claims(located), batch_id)
+        self.filed.write(_counted_claims(located).withColumn(
+            "period", F.date_format("created_at", self.period)), batch_id)
 
     def append_pairs(self, batch_id: int) -> None:
         """Record the pairs the filed batch shows for the first time."""
@@ -54,8 +60,9 @@ class ClaimHistory:
         earliest = known.agg(F.min("created_at")).first()[0]  # one timestamp
         if earliest is None:
             return known.select("claim_sk", F.lit(0).cast("bigint").alias("prior_hour"))
+        since = earliest - timedelta(hours=1)
         recent = self.filed.read(before=batch_id).where(
-            F.col("created_at") > F.lit(earliest).cast("timestamp_ntz") - F.expr("INTERVAL 1 HOUR"))
+            (F.col("period") >= F.date_format(F.lit(since), self.period)) & (F.col("created_at") > F.lit(since).cast("timestamp_ntz")))
         both = known.unionByName(recent)
         counts = signals.zone_burst(both, "pincode", "created_at", "claim_sk")
         return counts.join(known.select("claim_sk"), "claim_sk", "left_semi")
@@ -75,5 +82,5 @@ class ClaimHistory:
 
 
 def _counted_claims(located: DataFrame) -> DataFrame:
-    columns = [c.strip().split(" ")[0] for c in FILED.split(",")]
-    return located.where(~F.col("pincode").isin(HONEYPOT_PINCODES)).select(*columns)
+    return located.where(~F.col("pincode").isin(HONEYPOT_PINCODES)).select(
+        "claim_sk", "worker_id", "pincode", "device_id", "created_at")
