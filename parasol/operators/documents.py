@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parasol.constants import DEFAULT_PLAN, PLANS
 from parasol.functions.numeric import as_col
 from parasol.functions.temporal import iso_text
 
@@ -157,17 +158,11 @@ def in_ledger(status, which: str) -> Column:
 
 def upsert_policies(existing: DataFrame, requests: DataFrame, plans: DataFrame, at) -> DataFrame:
     """One active policy per worker with the tier's price; unknown tiers are priced as plus."""
-    tiers = F.broadcast(plans.select("plan", "weekly_premium", "weekly_cap"))  # three fixed rows
-    meta = F.broadcast(plans.where("plan = 'plus'").select(
-        F.lit(True).alias("always"), F.col("weekly_premium").alias("plus_premium"), F.col("weekly_cap").alias("plus_cap")))
-    priced = (
-        requests.withColumn("always", F.lit(True)).join(tiers, "plan", "left").join(meta, "always", "left")
-        .select(
-            "worker_name", F.col("plan").alias("new_plan"),
-            F.coalesce("weekly_premium", "plus_premium").alias("new_premium"),
-            F.coalesce("weekly_cap", "plus_cap").alias("new_cap"),
-        )
-    )
+    tiers = F.broadcast(plans.select(  # three fixed rows
+        F.col("plan").alias("tier"), F.col("weekly_premium").alias("new_premium"), F.col("weekly_cap").alias("new_cap")))
+    known = F.col("plan").isin([p[0] for p in PLANS])
+    priced = requests.withColumn("tier", F.when(known, F.col("plan")).otherwise(DEFAULT_PLAN)).join(tiers, "tier").select(
+        "worker_name", F.col("plan").alias("new_plan"), "new_premium", "new_cap")
     return existing.join(priced, "worker_name", "full_outer").select(
         "worker_name",
         F.coalesce("new_plan", "plan").alias("plan"),

@@ -63,7 +63,7 @@ def clustered(claims: DataFrame, key: str, ts: str, claim: str, at_least: int =
     stamped = claims.select(key, claim, micros(ts).alias("at"))
     per_instant = stamped.groupBy(key, "at").agg(F.count(F.lit(1)).alias("n"))
     counts = scans.trailing_sum(per_instant, [key], "at", "n", "in_window", minutes * 60_000_000, True)
-    return stamped.join(counts, [key, "at"]).select(
+    return stamped.join(counts, [key, "at"], "left").select(
         claim, "in_window", (F.col("in_window") >= at_least).alias("clustered"))
 
 

@@ -55,7 +55,7 @@ def valid_by_trigger(claims: DataFrame, fired: DataFrame) -> DataFrame:
     """
     days = fired_days(fired).withColumn("_hit", F.lit(True))
     dated = claims.withColumn("day", day_text("created_at")).join(days, ["pincode", "trigger_type", "day"], "left")
-    return dated.where(F.col("_hit") | (F.col("trigger_type") == "manual")).select(*claims.columns)
+    return dated.where(F.col("_hit") | (F.coalesce("trigger_type", F.lit("manual")) == "manual")).select(*claims.columns)
 
 
 def daily_weather(readings: DataFrame) -> DataFrame:

@@ -5,11 +5,14 @@ is cut into cells of fixed width. Each (key, cell) is scanned on its own, and
 what earlier cells hand over - one row per non-empty cell, built with map-side
 partial aggregation - is scanned separately and joined back. A key holding a
 third of all rows is thereby spread over as many tasks as it has cells, and the
-result is the same as that of the plain window.
+result is the same as that of the plain window. Rows without a key are kept;
+they have no history, so what is added to them is null.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +26,10 @@ def cell_start(at, width: int) -> Column:
     return at - F.pmod(at, F.lit(width))
 
 
+def _has_key(keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+
+
 def _carried(cells: DataFrame, keys: list[str], name: str, carried: Column) -> DataFrame:
     return cells.select(*keys, "_cell", carried.alias(name))
 
@@ -42,8 +49,8 @@ def prior_sum(df: DataFrame, keys: list[str], at: str, tie: str, value: str, out
     )
     return (
         cells.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .join(base, [*keys, "_cell"])
-        .withColumn(out, F.col("_base") + F.col("_inside"))
+        .join(base, [*keys, "_cell"], "left")
+        .withColumn(out, F.when(_has_key(keys), F.col("_base") + F.col("_inside")))
         .drop("_cell", "_base", "_inside")
     )
 
@@ -78,8 +85,9 @@ def trailing_sum(df: DataFrame, keys: list[str], at: str, value: str, out: str,
     return (
         cells.withColumn("_inside", F.sum("v").over(inside))
         .where("enters")
-        .join(base, [*keys, "_cell"])
-        .select(*keys, F.col("instant").alias(at), *also, (F.col("_base") + F.col("_inside")).alias(out))
+        .join(base, [*keys, "_cell"], "left")
+        .select(*keys, F.col("instant").alias(at), *also,
+                F.when(_has_key(keys), F.col("_base") + F.col("_inside")).alias(out))
     )
 
 
@@ -114,8 +122,8 @@ def _carry_last(probes, fact_rows, keys, probe_at, fields, ttl, width):
     found = (
         both.withColumn("_inside", F.last("_fact", ignorenulls=True).over(inside))
         .where(F.col("_probe").isNotNull())
-        .join(base, [*keys, "_cell"])
-        .withColumn("_known", F.coalesce("_inside", "_base"))
+        .join(base, [*keys, "_cell"], "left")
+        .withColumn("_known", F.when(_has_key(keys), F.coalesce("_inside", "_base")))
     )
     fresh = F.col("_known").isNotNull()
     if ttl is not None:
@@ -140,8 +148,8 @@ def with_previous(df: DataFrame, keys: list[str], at: str, tie: str, fields: lis
     inside = Window.partitionBy(*keys, "_cell").orderBy(at, tie)
     return (
         cells.withColumn("_prev", F.lag(row).over(inside))
-        .join(base, [*keys, "_cell"])
-        .withColumn("_prev", F.coalesce("_prev", "_base"))
+        .join(base, [*keys, "_cell"], "left")
+        .withColumn("_prev", F.when(_has_key(keys), F.coalesce("_prev", "_base")))
         .select(*df.columns, *[F.col(f"_prev.{f}").alias(f"prev_{f}") for f in fields])
     )
 
@@ -150,7 +158,7 @@ def first_seen(df: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:
     """Add ``is_first``: whether the row is the earliest of its key combination."""
     earliest = df.groupBy(*keys).agg(F.min(F.struct(F.col(at), F.col(tie))).alias("_first"))
     return (
-        df.join(earliest, keys)
-        .withColumn("is_first", (F.col("_first") == F.struct(F.col(at), F.col(tie))))
+        df.join(earliest, keys, "left")
+        .withColumn("is_first", F.coalesce(F.col("_first") == F.struct(F.col(at), F.col(tie)), F.lit(False)))
         .drop("_first")
     )

@@ -26,7 +26,7 @@ def zone_burst(claims: DataFrame, key: str, ts: str, claim: str) -> DataFrame:
     per_instant = stamped.groupBy(key, "at").agg(F.count(F.lit(1)).alias("n"))
     trailing = scans.trailing_sum(per_instant, [key], "at", "n", "hour_count",
                                   span=scans.HOUR, include_edge=False, width=60_000_000)
-    return stamped.join(trailing, [key, "at"]).select(
+    return stamped.join(trailing, [key, "at"], "left").select(
         claim, (F.col("hour_count") - 1).alias("prior_hour"))
 
 
@@ -126,7 +126,7 @@ def rolling_approved(claims: DataFrame, days: int = 7) -> DataFrame:
     per_instant = stamped.groupBy("worker_id", "at").agg(F.sum("v").alias("v"))
     sums = scans.trailing_sum(per_instant, ["worker_id"], "at", "v", "approved_7d", days * scans.DAY, True,
                               width=days * scans.DAY)
-    return stamped.join(sums, ["worker_id", "at"]).select(
+    return stamped.join(sums, ["worker_id", "at"], "left").select(
         "worker_id", "claim_sk", F.col("approved_7d").cast("double").alias("approved_7d"))
 
 

@@ -113,3 +113,17 @@ def test_outage_needs_three_low_buckets_in_a_row(spark):
     df = spark.createDataFrame(rows, "platform string, s bigint").withColumn("ts", F.timestamp_seconds("s"))
     out = extensions.outages(df, "platform", "ts").where("outage").collect()
     assert [r.bucket for r in out] == [8 * 86400 + 22 * 1800]
+
+
+def test_rows_without_a_key_are_kept(spark):
+    df = spark.createDataFrame([("a", 1, 1, 5), (None, 1, 2, 7), (None, 2, 3, 7), ("a", 2, 4, 1)],
+                               "key string, at bigint, id bigint, v bigint")
+    sums = {r.id: r.s for r in scans.prior_sum(df, ["key"], "at", "id", "v", "s").collect()}
+    assert sums == {1: 0, 4: 5, 2: None, 3: None}
+    recent = scans.trailing_sum(df, ["key"], "at", "v", "s", 10, True, also=["id"])
+    assert {r.id: r.s for r in recent.collect()} == {1: 5, 4: 6, 2: None, 3: None}
+    facts = df.select("key", F.col("at").alias("f_at"), F.col("id").alias("f_id"))
+    known = scans.last_known(df, facts, ["key"], "at", "f_at", "f_id", ["f_id"])
+    assert {r.id: r.f_id for r in known.collect()} == {1: 1, 4: 4, 2: None, 3: None}
+    previous = scans.with_previous(df, ["key"], "at", "id", ["v"])
+    assert {r.id: r.prev_v for r in previous.collect()} == {1: None, 4: 5, 2: None, 3: None}
