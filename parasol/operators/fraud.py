@@ -177,12 +177,24 @@ ML_FEATURES = ["f_amount", "f_hour", "f_weekday", "f_claims", "f_score", "f_age"
 def assemble(claims: DataFrame, workers: DataFrame, photos: DataFrame | None = None,
              coords: DataFrame | None = None, weather: DataFrame | None = None,
              vision: DataFrame | None = None, traces: DataFrame | None = None,
-             network: DataFrame | None = None) -> DataFrame:
+             network: DataFrame | None = None, narrow: bool = False) -> DataFrame:
     """One wide row per claim with everything the layers read; absent inputs are null.
 
     ``network`` holds precomputed history signals (a stream brings its own);
-    otherwise they are computed over ``claims`` itself.
+    otherwise they are computed over ``claims`` itself. ``narrow`` cuts every
+    input to the keys of ``claims`` first: a micro-batch is small, so its keys
+    can be broadcast and the large inputs are filtered where they are read,
+    which an outer join against them would not allow.
     """
+    if narrow:
+        ids, owners = claims.select("claim_sk"), claims.select("worker_id").distinct()
+        days = claims.select(day_text("created_at").alias("day")).distinct()
+        workers = workers.join(owners, "worker_id", "left_semi")
+        photos = photos if photos is None else photos.join(ids, "claim_sk", "left_semi")
+        vision = vision if vision is None else vision.join(ids, "claim_sk", "left_semi")
+        weather = weather if weather is None else weather.join(days, "day", "left_semi")
+        traces = traces if traces is None else traces.join(
+            owners.withColumnRenamed("worker_id", "trace_id"), "trace_id", "left_semi")
     if network is None:
         located = claims.join(workers.select("worker_id", "pincode"), "worker_id")
         network = network_signals(located)

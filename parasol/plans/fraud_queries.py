@@ -110,11 +110,11 @@ def side_inputs(t):
     return matching.daily_weather(t.past_readings), signals.trace_verdict(signals.gps_hops(t.gps_pings))
 
 
-def assembled(t, claims=None, network=None, sides=None):
+def assembled(t, claims=None, network=None, sides=None, narrow=False):
     weather, traces = sides or side_inputs(t)
     return fraud.assemble(
         t.claims if claims is None else claims, t.workers, t.claim_photos, t.zone_coords, weather,
-        parse_vision(t.vision_raw), traces, network)
+        parse_vision(t.vision_raw), traces, network, narrow)
 
 
 @query("l1_rule_signals", f"""

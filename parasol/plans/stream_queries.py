@@ -99,7 +99,7 @@ def fraud_run(t):
     root = scratch_path(t.spark, "fraud")
     # Aggregated once; every batch reads the written result.
     sides = [materialized(df, name) for df, name in zip(side_inputs(t), ("weather", "traces"))]
-    job = FraudJob(t.spark, root, t.workers, lambda claims, network: assembled(t, claims, network, sides),
+    job = FraudJob(t.spark, root, t.workers, lambda claims, network: assembled(t, claims, network, sides, narrow=True),
                    period="yyyy")  # the landed slices span years
     t.spark.createDataFrame([], t.claims.schema).write.parquet(f"{root}/landed")
     source = t.spark.readStream.schema(t.claims.schema).parquet(f"{root}/landed")
