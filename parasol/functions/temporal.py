@@ -12,6 +12,11 @@ def micros(ts) -> Column:
     return F.unix_micros(as_col(ts).cast("timestamp"))
 
 
+def at_literal(moment) -> Column:
+    """A Python datetime as a zone-less literal, whatever the driver's own zone."""
+    return F.lit(f"{moment:%Y-%m-%d %H:%M:%S.%f}").cast("timestamp_ntz")
+
+
 def seconds_between(later, earlier) -> Column:
     return (micros(later) - micros(earlier)) / F.lit(1e6)
 

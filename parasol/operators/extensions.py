@@ -20,7 +20,7 @@ def sustained(readings: DataFrame, qualifies: Column, minutes: int) -> DataFrame
     at = readings.withColumn("_at", micros("ts"))
     good = at.where(qualifies).select("pincode", "ts", "reading_id", "_at")
     breaks = at.where(~qualifies).select("pincode", F.col("reading_id").alias("break_id"), F.col("_at").alias("_b"))
-    named = scans.last_known(good, breaks, ["pincode"], "_at", "_b", "break_id", ["break_id"], width=scans.DAY)
+    named = scans.last_known(good, breaks, ["pincode"], "_at", "_b", "break_id", ["break_id"])
     runs = named.groupBy("pincode", "break_id").agg(
         F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count(F.lit(1)).alias("readings"))
     span = (micros("ended") - micros("started")) / 60e6

@@ -35,7 +35,7 @@ def _carried(cells: DataFrame, keys: list[str], name: str, carried: Column) -> D
 
 
 def prior_sum(df: DataFrame, keys: list[str], at: str, tie: str, value: str, out: str,
-              width: int = DAY) -> DataFrame:
+              width: int = HOUR) -> DataFrame:
     """Add ``out``: sum of ``value`` over rows strictly before by (at, tie), per key."""
     cells = df.withColumn("_cell", cell_start(at, width))
     before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -136,7 +136,7 @@ def _carry_last(probes, fact_rows, keys, probe_at, fields, ttl, width):
 
 
 def with_previous(df: DataFrame, keys: list[str], at: str, tie: str, fields: list[str],
-                  width: int = DAY) -> DataFrame:
+                  width: int = HOUR) -> DataFrame:
     """Add ``prev_<field>`` from the row before, by (at, tie) within the key."""
     row = F.struct(F.col(at).alias("_at"), F.col(tie).alias("_tie"), *[F.col(f).alias(f) for f in fields])
     cells = df.withColumn("_cell", cell_start(at, width))

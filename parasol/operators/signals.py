@@ -31,7 +31,7 @@ def zone_burst(claims: DataFrame, key: str, ts: str, claim: str) -> DataFrame:
 
 
 def prior_distinct(df: DataFrame, key: str, member: str, ts: str, row_id: str,
-                   width: int = scans.DAY) -> DataFrame:
+                   width: int = scans.HOUR) -> DataFrame:
     """(row_id, seen, own_seen): distinct members of the key in earlier rows.
 
     A running distinct count is a running count of first appearances.
@@ -96,7 +96,7 @@ def earlier_rejections(claims: DataFrame) -> DataFrame:
     marked = claims.withColumn("_at", micros("created_at")).withColumn(
         "_bad", F.col("status").startswith("rejected").cast("int"))
     return scans.prior_sum(marked, ["worker_id"], "_at", "claim_sk", "_bad", "false_before",
-                           30 * scans.DAY).drop("_at", "_bad")
+                           scans.DAY).drop("_at", "_bad")
 
 
 def escalation(rejected: DataFrame, start_score) -> DataFrame:
@@ -125,7 +125,7 @@ def rolling_approved(claims: DataFrame, days: int = 7) -> DataFrame:
         F.when(F.col("status") == "approved", F.col("amount")).otherwise(0.0).cast("decimal(18,2)").alias("v"))
     per_instant = stamped.groupBy("worker_id", "at").agg(F.sum("v").alias("v"))
     sums = scans.trailing_sum(per_instant, ["worker_id"], "at", "v", "approved_7d", days * scans.DAY, True,
-                              width=days * scans.DAY)
+                              width=scans.HOUR)
     return stamped.join(sums, ["worker_id", "at"], "left").select(
         "worker_id", "claim_sk", F.col("approved_7d").cast("double").alias("approved_7d"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parasol.constants import HONEYPOT_PINCODES
-from parasol.functions.temporal import micros
+from parasol.functions.temporal import at_literal, micros
 from parasol.operators import scans, signals
 from parasol.sources.store import BatchTable
 
@@ -60,9 +60,9 @@ class ClaimHistory:
         earliest = known.agg(F.min("created_at")).first()[0]  # one timestamp
         if earliest is None:
             return known.select("claim_sk", F.lit(0).cast("bigint").alias("prior_hour"))
-        since = earliest - timedelta(hours=1)
+        since = at_literal(earliest - timedelta(hours=1))
         recent = self.filed.read(before=batch_id).where(
-            (F.col("period") >= F.date_format(F.lit(since), self.period)) & (F.col("created_at") > F.lit(since).cast("timestamp_ntz")))
+            (F.col("period") >= F.date_format(since, self.period)) & (F.col("created_at") > since))
         both = known.unionByName(recent)
         counts = signals.zone_burst(both, "pincode", "created_at", "claim_sk")
         return counts.join(known.select("claim_sk"), "claim_sk", "left_semi")
