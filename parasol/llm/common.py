@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -37,3 +40,8 @@ def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> D
     marked = docs.select("*", *row_key(id_col, text_col)).join(keys.select(*ROW_KEY), ROW_KEY)
     nth = F.row_number().over(Window.partitionBy(*ROW_KEY).orderBy(*ROW_KEY))
     return marked.withColumn("row_nth__", nth).where("row_nth__ = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def ship_by_value(module_name: str) -> None:
+    """Lets tasks run a module's functions on executors that do not have the package installed."""
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parasol.llm import exact_dedup, simhash
+from parasol.llm import exact_dedup, simhash, tokens, warc
 from parasol.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,29 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The copies of every document's text and the one that stays."""
     found = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op3_token_counts")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under the public byte-level BPE; 1024 is the limit of its context."""
+    import public_tokenizers
+
+    found = tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                public_tokenizers.PATTERN)
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+@query("op8_warc", """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+                  sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+ CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back."""
+    found = warc.round_trip(spark, table(spark, sf_dir, "pages"), with_payload=False)
+    checked = F.when(F.col("valid"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a digest does not match")))
+    return found.select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to")

@@ -32,13 +32,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from parasol.llm.common import ROW_KEY, keep_rows, row_key
+from parasol.llm.common import ROW_KEY, keep_rows, row_key, ship_by_value
 from parasol.llm.graph import components
 from parasol.session import materialized
 
 SEED = 42
 TALLY_ROWS = 1 << 15  # hashes whose bits are counted at once
 
+ship_by_value(__name__)
+
 
 def fingerprint(text: str | None, words: int) -> int:
     """The SimHash of one text, unsigned. Words are runs without ASCII white space; A-Z are lower-cased."""
