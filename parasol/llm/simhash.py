@@ -15,10 +15,11 @@ key that thousands share must not be paired off. So links are found in two steps
 
 1. Of each key only its smallest and largest fingerprint are linked to the
    others (two aggregates with map-side combine), and components are formed.
-2. Keys that still hold more than one component are searched: their rows outside
-   the key's largest component are joined with all its rows. Every link between
-   two components has such an end, so none is lost, and pairs inside a component
-   are never formed.
+2. Keys that still hold more than one component are searched, unless they hold
+   three fingerprints or fewer: step 1 has compared all of those. Their rows
+   outside the key's largest component are joined with all its rows. Every link
+   between two components has such an end, so none is lost, and pairs inside a
+   component are never formed.
 
 Nulls count as empty texts. A text without words has fingerprint zero and links
 like any other. Repeated rows are copies. Further columns are ignored. An empty
@@ -124,7 +125,8 @@ def link_fingerprints(nodes: DataFrame, max_bits: int) -> DataFrame:
     rooted = materialized(rooted.join(numbered, "root"), "simhash-rooted")
 
     keyed = rooted.select(F.explode(variants(F.col("fp"), max_bits)).alias("key"), "fp", "root", "class")
-    mixed = keyed.groupBy("key").agg(F.max("class").alias("pivot"), F.min("class").alias("low")).where("pivot <> low")
+    mixed = keyed.groupBy("key").agg(F.max("class").alias("pivot"), F.min("class").alias("low"), F.count("*").alias("n"))
+    mixed = mixed.where("pivot <> low AND n > 3").select("key", "pivot")
     rest = keyed.alias("k").join(mixed.alias("m"), (F.col("k.key") == F.col("m.key")) & (F.col("class") < F.col("pivot")))
     rest = rest.select(F.col("k.key").alias("key"), F.col("fp").alias("fp_a"), F.col("root").alias("root_a"))
     cross = rest.alias("a").join(
