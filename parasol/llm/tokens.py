@@ -4,19 +4,22 @@ A byte-level BPE splits a text into pre-tokens and merges each by itself. Most
 pre-tokens are vocabulary strings. Which of those encode alone as just their own
 one token is proven beforehand by encoding every vocabulary string with the
 library (a merge order can make a vocabulary string unreachable; such strings
-fail the proof). A text is then split by the public pattern, proven pre-tokens
-count one each, and only the others are merged by the library, once per task
-while they stay in a bounded table.
-
-Special strings inside a text are one token each, as the library takes them by
-default. A character that the two pattern engines class differently sends its
-whole text to the library. Null counts as empty. Ties and repeated rows need no
+fail the proof). Texts are cut into pieces where a pre-token always begins, before a
+space that a character other than white space follows. Each distinct piece of a
+few megabytes of text is split by the public pattern once; proven pre-tokens
+count one each, and only the others are merged by the library, and kept in a
+bounded table.
+
+A text with special strings goes to the library whole, which by default takes
+each as one token; so does a piece with a character that the two pattern engines
+class differently. Null counts as empty. Ties and repeated rows need no
 care: every row is counted by itself. Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 from bisect import bisect_right
@@ -24,10 +27,13 @@ from collections.abc import Iterator
 from functools import cache
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from parasol.llm.common import ship_by_value
+from parasol.llm.word_arrays import batch_pieces, slices
 
 REMEMBERED = 200_000  # merged pre-tokens a task keeps; above that it starts anew
 LONGEST_REMEMBERED = 64
@@ -87,21 +93,33 @@ def unsafe_characters(tokenizer_path: str, pattern: str) -> str:
     return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _unsafe_ranges(tokenizer_path, pattern)) + "]"
 
 
-class Counter(dict):
-    """Tokens of a pre-token: one for the proven, the library's count for others, kept while there is room."""
+class PieceCounter:
+    """Tokens of pieces: one for each proven pre-token, the library's count for the others."""
 
-    def __init__(self, whole: frozenset[str], tokenizer):
-        super().__init__(dict.fromkeys(whole, 1))
-        self.whole, self.tokenizer = whole, tokenizer
+    def __init__(self, tokenizer, pattern: str, whole: frozenset[str], unsafe: str):
+        import regex
 
-    def __missing__(self, piece: str) -> int:
-        n = len(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        if len(piece) <= LONGEST_REMEMBERED:
-            if len(self) - len(self.whole) >= REMEMBERED:
-                self.clear()
-                self.update(dict.fromkeys(self.whole, 1))
-            self[piece] = n
-        return n
+        self.tokenizer, self.split, self.odd = tokenizer, regex.compile(pattern).findall, re.compile(unsafe).search
+        self.whole, self.known = whole, dict.fromkeys(whole, 1)
+
+    def encoded(self, texts: list[str]) -> list[int]:
+        return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def counts(self, pieces: list[str]) -> list[int]:
+        """Tokens of each piece; pieces hold no special string."""
+        odd = {p for p in pieces if not p.isascii() and self.odd(p)}
+        split = [[p] if p in odd else self.split(p) for p in pieces]
+        if len(self.known) - len(self.whole) > REMEMBERED:
+            self.known = dict.fromkeys(self.whole, 1)
+        known = self.known
+        rest = list({t for tokens in split for t in tokens if t not in known})
+        found = dict(zip(rest, self.encoded(rest)))
+        known.update(found)
+        sums = [sum(map(known.__getitem__, tokens)) for tokens in split]
+        for t in rest:
+            if len(t) > LONGEST_REMEMBERED:
+                del known[t]
+        return sums
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,24 +139,24 @@ def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str
     shipped = spark.sparkContext.broadcast((whole_tokens(tokenizer), unsafe_characters(tokenizer_path, pattern)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
         from tokenizers import Tokenizer
 
-        own = Tokenizer.from_file(tokenizer_path)
-        whole, unsafe = shipped.value
-        counts, split = Counter(whole, own), regex.compile(pattern).findall
-        special = regex.compile("|".join(map(regex.escape, specials))).split if specials else lambda text: [text]
-        odd = re.compile(unsafe).search
-
-        def count(text: str) -> int:
-            if not text.isascii() and odd(text):
-                return len(own.encode(text, add_special_tokens=False).ids)
-            parts = special(text)
-            return len(parts) - 1 + sum(sum(map(counts.__getitem__, split(part))) for part in parts)
-
+        counter = PieceCounter(Tokenizer.from_file(tokenizer_path), pattern, *shipped.value)
         for batch in batches:
-            found = pa.array([count(t.as_py()) for t in batch["text"]], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["n_bytes"], found], ["id", "n_bytes", "n_tokens"])
+            for part in slices(batch, "text"):
+                texts = part["text"]
+                special = np.zeros(len(texts), bool)
+                for s in specials:
+                    special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+                plain = pc.if_else(pa.array(special), "", texts)
+                codes, pieces, bounds = batch_pieces(plain)
+                tokens = np.array(counter.counts(pieces.to_pylist()), np.int64)
+                running = np.concatenate([[0], np.cumsum(tokens[codes])]) if len(codes) else np.zeros(1, np.int64)
+                n = running[bounds[1:]] - running[bounds[:-1]]
+                at = np.flatnonzero(special)
+                n[at] = counter.encoded([texts[int(i)].as_py() for i in at])
+                yield pa.RecordBatch.from_arrays([part["id"], part["n_bytes"], pa.array(n)], ["id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
