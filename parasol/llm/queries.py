@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parasol.llm import exact_dedup, simhash, tokens, warc
+from parasol.llm import exact_dedup, simhash, tokens, toxicity, warc
 from parasol.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(spark, table(spark, sf_dir, "pages"), with_payload=False)
     checked = F.when(F.col("valid"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a digest does not match")))
     return found.select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to")
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
