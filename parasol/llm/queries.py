@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parasol.llm import decontaminate, exact_dedup, simhash, tokens, toxicity, warc
+from parasol.llm import decontaminate, exact_dedup, html_crf, simhash, tokens, toxicity, warc
 from parasol.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op5_html_extraction")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_crf.main_text(table(spark, sf_dir, "pages"))
+
+
 @query("op7_exact_dedup", f"""
 WITH n AS (SELECT doc_id, sha256({_SQL_LOWER}) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY 1)
