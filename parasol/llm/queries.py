@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parasol.llm import decontaminate, exact_dedup, html_crf, simhash, tokens, toxicity, warc
+from parasol.llm import decontaminate, exact_dedup, html_crf, mixing, pii, simhash, tokens, toxicity, warc
 from parasol.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,51 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_MIX_MARGINS = mixing.MARGINS
+
+
+def _mixing_sql(rows: str, rounds: int = mixing.ROUNDS, seed: int = 1) -> str:
+    """The mixture in SQL: one CTE per step of the fit."""
+    parts = [f"""d AS (SELECT *, coalesce(source, '') AS s__, coalesce(lang, '') AS l__,
+ len(regexp_extract_all(coalesce(text, ''), '[^ \t\r\n]+'))::BIGINT AS n_tokens,
+ CASE WHEN contains(lower(coalesce(text, '')), 'license') OR contains(lower(coalesce(text, '')), 'licence')
+        OR contains(lower(coalesce(text, '')), 'copyright') THEN 'legal'
+      WHEN contains(coalesce(text, ''), '@') THEN 'contact'
+      WHEN NOT regexp_matches(coalesce(text, ''), '[a-z]') THEN 'capitals' ELSE 'prose' END AS topic FROM ({rows}) x)""",
+             "c AS (SELECT s__ AS source, l__ AS lang, topic, sum(n_tokens)::DOUBLE AS n FROM d GROUP BY ALL)"]
+    for m, temper in mixing.TEMPER.items():
+        parts += [f"t_{m} AS (SELECT {m}, n, CASE WHEN sum(pow(n, {temper})) OVER () > 0 THEN pow(n, {temper}) / sum(pow(n, {temper})) OVER () "
+                  f"ELSE 0 END * sum(n) OVER () AS target FROM (SELECT {m}, sum(n) AS n FROM c GROUP BY 1))",
+                  f"f_{m}_0 AS MATERIALIZED (SELECT {m}, 1.0::DOUBLE AS f FROM t_{m})"]
+    done = dict.fromkeys(_MIX_MARGINS, 0)
+    for _ in range(rounds):
+        for m in _MIX_MARGINS:
+            a, b = (x for x in _MIX_MARGINS if x != m)
+            parts.append(f"f_{m}_{done[m] + 1} AS MATERIALIZED (SELECT {m}, CASE WHEN total > 0 THEN target / total ELSE 1 END AS f FROM t_{m} JOIN "
+                         f"(SELECT {m}, sum(c.n * x.f * y.f) AS total FROM c JOIN f_{a}_{done[a]} x USING ({a}) JOIN f_{b}_{done[b]} y USING ({b}) GROUP BY 1) USING ({m}))")
+            done[m] += 1
+    joins = " ".join(f"JOIN f_{m}_{rounds} {m[0]}f USING ({m})" for m in _MIX_MARGINS)
+    parts += [f"r AS (SELECT source, lang, topic, n, sf.f * lf.f * tf.f AS weight FROM c {joins})",
+              "p AS (SELECT source, lang, topic, weight, least(1.0, coalesce(weight / (SELECT max(weight) FROM r WHERE n > 0), 1.0)) AS probability FROM r)",
+              f"""m AS (SELECT d.*, p.weight, p.probability,
+ ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < p.probability AS sampled
+ FROM d JOIN p ON d.s__ = p.source AND d.l__ = p.lang AND d.topic = p.topic)"""]
+    return "WITH " + ",\n".join(parts)
+
+
+@query("op9_mixing", _mixing_sql("SELECT * FROM documents") + """
+SELECT doc_id, source, lang, topic, n_tokens, round(weight, 6) AS weight, round(probability, 6) AS probability, sampled FROM m""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight and whether the mixture takes it."""
+    found = mixing.mixture(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"),
+                        F.round("probability", 6).alias("probability"), "sampled")
+
+
+@query("op10_pii")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with pseudonyms. The key is a demonstration's; a deployment brings its own."""
+    found = pii.pseudonymise(table(spark, sf_dir, "documents"), key="demonstration key")
+    return found.select("doc_id", "text", "n_values", "kinds")
