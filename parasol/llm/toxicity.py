@@ -1,7 +1,7 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 One model is learnt from toxic rows and one from ordinary rows. Both spell a
-text's words letter by letter from the four letters before. Each discounts its
+text's words letter by letter from the three letters before. Each discounts its
 class's counts and backs off to shorter contexts, whose counts (in how many
 different contexts a letter sequence occurs, Kneser and Ney's) both classes
 share. So an expression too rare to tell the classes apart weighs nearly the
@@ -11,17 +11,19 @@ same in both, and an unseen inflection of a toxic word still counts as its stem.
 times counts as often as k has binary digits, so that a text repeating one word
 does not outweigh the rest. Each task sends its distinct letter sequences with a
 count for each class, and Spark adds them up over all labelled rows. A letter
-sequence is a 60-bit key; the tables shipped to the tasks are indexed by the key
-modulo a fixed prime, so the model has a fixed size (``MODEL_BYTES``) however
-much text it was learnt from.
-
-*Scoring.* Two measures compare the two log-likelihoods: their difference per
-word, and per root of the number of words. A logistic curve over both is fitted
+sequence is a 48-bit key; the tables shipped to the tasks are indexed by the key
+modulo a fixed prime, so the model takes at most ``MODEL_BYTES`` however much
+text it was learnt from.
+
+*Scoring.* The log-likelihoods of a text are compared word by word. A word's
+difference counts by what it exceeds ``EVIDENCE``: below that lies the noise of
+thousands of ordinary words. Two measures of the sum are its value per word and
+per root of the number of words. A logistic curve over both is fitted
 on a fifth of the training rows that the counts leave out, gathered as a
 histogram.
 
 Only rows for which ``held_out`` does not hold give labels. Null or empty texts
-have no words and get the score of a difference of zero. Several labels of one
+have no words and get the score of no evidence. Several labels of one
 id: the largest counts. Null labels are no labels. Repeated rows count each. If
 one of the classes has no row, every score is 0. Further columns are ignored.
 """
@@ -40,12 +42,14 @@ from parasol.session import materialized
 
 ship_by_value(__name__)
 
-ORDER = 5
+ORDER = 4
+EVIDENCE = 1.5  # a factor of about 4.5 between the likelihoods of a word
 CHAR_BITS = 12
 START, END, FIRST_LETTER, LETTERS = 1, 2, 3, 4093  # codes of a letter sequence; letters are taken modulo LETTERS
-# Fixed sizes (primes) of the tables of sequences of 0 to 5 letters.
-TABLE_SIZES = (1, 65521, 262139, 524287, 1048573, 2097143)
-MODEL_BYTES = 4 * (sum(TABLE_SIZES[1:5]) + 2 * sum(TABLE_SIZES[:4]) + 2 * TABLE_SIZES[5] + 4 * TABLE_SIZES[4])
+# Fixed sizes (primes) of the tables of sequences of 0 to ORDER letters.
+TABLE_SIZES = (1, 65521, 262139, 1048573, 2097143)
+# An index and a number for each entry: counts of all sequences, totals and kinds of their contexts.
+MODEL_BYTES = 8 * (sum(TABLE_SIZES[1:ORDER]) + 2 * sum(TABLE_SIZES[:ORDER - 1]) + 2 * TABLE_SIZES[ORDER] + 4 * TABLE_SIZES[ORDER - 1])
 DISCOUNT = 0.75
 BROADCAST_LABELS = 2_000_000  # labelled ids (about 16 bytes each) up to which they go to the texts
 CALIBRATION_FOLDS = 5
@@ -144,22 +148,27 @@ def _log_ratios(model: dict[str, np.ndarray], keys: np.ndarray) -> np.ndarray:
 
 
 def measures(rows: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
-    """``rows`` (with a column text) with the log-likelihood difference per word and per root of the words.
+    """``rows`` (with a column text) with the evidence for toxicity per word and per root of the words.
 
     All columns but the text are handed through.
     """
-    shipped = rows.sparkSession.sparkContext.broadcast(model)
+    entries = {k: (np.flatnonzero(v).astype(np.int32), v[v != 0], len(v)) for k, v in (model or {}).items()}
+    shipped = rows.sparkSession.sparkContext.broadcast(entries)
     others = [f for f in rows.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = {}
+        for name, (slot, value, size) in shipped.value.items():
+            tables[name] = np.zeros(size, np.float32)
+            tables[name][slot] = value
         for batch in batches:
             for part in slices(batch, "text"):
                 total, words_n = np.zeros(part.num_rows), np.ones(part.num_rows)
                 text, word, n, words = _distinct_words(part["text"])
-                if shipped.value is not None and len(words):
+                if tables and len(words):
                     keys, begins = spell(words)
-                    ratio = np.add.reduceat(_log_ratios(shipped.value, keys), begins)
-                    total = np.bincount(text, n * ratio[word], part.num_rows)
+                    evidence = np.maximum(np.add.reduceat(_log_ratios(tables, keys), begins) - EVIDENCE, 0)
+                    total = np.bincount(text, n * evidence[word], part.num_rows)
                     words_n = np.maximum(np.bincount(text, n, part.num_rows), 1)
                 columns = [part[f.name] for f in others] + [pa.array(total / words_n), pa.array(total / np.sqrt(words_n))]
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in others] + ["per_word", "per_root"])
