@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parasol.llm import decontaminate, exact_dedup, html_crf, mixing, pii, simhash, tokens, toxicity, warc
+from parasol.llm import decontaminate, exact_dedup, html_crf, licenses, mixing, pii, simhash, tokens, toxicity, warc
 from parasol.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,16 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op4_license_scans")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence. Its path is source/language/hundreds of its id/its id."""
+    docs = table(spark, sf_dir, "documents")
+    hundreds = F.floor(F.col("doc_id") / 100).cast("string")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), hundreds, F.col("doc_id").cast("string"))
+    found = licenses.license_scan(docs.select("doc_id", path.alias("path"), "text"))
+    return found.withColumn("own_cosine", F.round("own_cosine", 6))
+
+
 @query("op5_html_extraction")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
