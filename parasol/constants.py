@@ -102,7 +102,6 @@ ZONE_FALLBACK_READINGS = [
 DEFAULT_FALLBACK_READING = {"rain": 6.0, "duration": 35, "wind": 20, "aqi": 120}
 
 # The five triggers and the readings of the what-if scenarios.
-TRIGGERS = ["heavy_rain", "aqi_spike", "waterlogging", "cyclone_wind", "strike_curfew"]
 PHOTO_TRIGGERS = ["heavy_rain", "waterlogging", "aqi_spike", "cyclone_wind"]
 WHAT_IF_AQI_RATE = 0.45
 WHAT_IF_RAIN = (9.2, 55)

@@ -23,23 +23,25 @@ def earliest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFr
     return df.groupBy(*keys).agg(oldest.alias("_row")).select(*keys, "_row.*").select(*df.columns)
 
 
-def upsert(base: DataFrame, changes: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+def upsert(base: DataFrame, changes: DataFrame, keys: list[str], order: list[str] | None = None,
+           matched: list[str] | None = None) -> DataFrame:
     """``base`` with the latest change per key applied; unknown keys are added.
 
-    A change row replaces the columns it carries. Columns it lacks keep their
-    base value.
+    A change row replaces the columns it carries, or of a known key only those
+    in ``matched`` if given. Columns it lacks keep their base value.
     """
     if order:
         changes = latest_per_key(changes, keys, order)
     set_cols = [c for c in changes.columns if c not in keys and c in base.columns]
     new = changes.select(*keys, F.struct(*set_cols).alias("_new"))
-    merged = base.join(new, keys, "full_outer")
+    merged = base.withColumn("_known", F.lit(True)).join(new, keys, "full_outer")
     hit = F.col("_new").isNotNull()
+    added = F.col("_known").isNull()
     return merged.select(
         *[
             c if c in keys
-            else F.when(hit, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in set_cols
-            else c
+            else F.when(hit if matched is None or c in matched else added, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c)
+            if c in set_cols else c
             for c in base.columns
         ]
     )
@@ -63,7 +65,3 @@ def toggled(flag: Column, presses: Column) -> Column:
     """State of a boolean after an odd or even number of toggles."""
     odd = F.pmod(F.coalesce(presses, F.lit(0)), F.lit(2)) == 1
     return flag != odd
-
-
-def counts_by(df: DataFrame, key: str, out: str) -> DataFrame:
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias(out))

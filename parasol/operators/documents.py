@@ -158,8 +158,8 @@ def in_ledger(status, which: str) -> Column:
 
 def upsert_policies(existing: DataFrame, requests: DataFrame, plans: DataFrame, at) -> DataFrame:
     """One active policy per worker with the tier's price; unknown tiers are priced as plus."""
-    tiers = F.broadcast(plans.select(  # three fixed rows
-        F.col("plan").alias("tier"), F.col("weekly_premium").alias("new_premium"), F.col("weekly_cap").alias("new_cap")))
+    tiers = plans.select(
+        F.col("plan").alias("tier"), F.col("weekly_premium").alias("new_premium"), F.col("weekly_cap").alias("new_cap"))
     known = F.col("plan").isin([p[0] for p in PLANS])
     priced = requests.withColumn("tier", F.when(known, F.col("plan")).otherwise(DEFAULT_PLAN)).join(tiers, "tier").select(
         "worker_name", F.col("plan").alias("new_plan"), "new_premium", "new_cap")

@@ -102,7 +102,7 @@ def boosted_cap(claims: DataFrame, plans: DataFrame, alerts: DataFrame) -> DataF
     flooded = alerts.where(F.col("trigger_type").isin("heavy_rain", "waterlogging")).select(
         "pincode", day_text("ts").alias("day")).distinct().withColumn("alert", F.lit(True))
     joined = claims.withColumn("day", day_text("created_at")).join(flooded, ["pincode", "day"], "left").join(
-        F.broadcast(plans.select("plan", "weekly_cap")), "plan")  # three plan rows
+        plans.select("plan", "weekly_cap"), "plan")
     boost = F.coalesce("alert", F.lit(False)) & F.col("plan").isin("plus", "pro")
     return joined.withColumn("cap", F.when(boost, F.col("weekly_cap") * 1.5).otherwise(F.col("weekly_cap") * 1.0))
 

@@ -217,7 +217,7 @@ def assemble(claims: DataFrame, workers: DataFrame, photos: DataFrame | None = N
         rows = rows.withColumn("day", day_text("created_at")).join(
             weather.select("pincode", "day", "had_rain"), ["pincode", "day"], "left")
     if photos is not None:
-        known = F.broadcast(coords.select("pincode", "lat", "lon"))  # the fixed list of known places
+        known = coords.select("pincode", "lat", "lon")
         rows = rows.join(known, "pincode", "left")
     have = set(rows.columns)
 

@@ -79,7 +79,7 @@ def with_zone_snapshot(probes: DataFrame, snapshots: DataFrame, fields: list[str
 
 def photo_distance(claims: DataFrame, photos: DataFrame, coords: DataFrame) -> DataFrame:
     """Distance from the photo's position to the registered pincode, where both are known."""
-    known = F.broadcast(coords.select("pincode", "lat", "lon"))  # the fixed list of known places
+    known = coords.select("pincode", "lat", "lon")
     return claims.join(photos, "claim_sk").join(known, "pincode", "left").withColumn(
         "photo_km", haversine_km("lat", "lon", "gps_lat", "gps_lon"))
 

@@ -33,7 +33,7 @@ def is_rejected() -> Column:
 
 def coverage(workers: DataFrame, policies: DataFrame, plans: DataFrame) -> DataFrame:
     held = policies.select("worker_id", F.lit(True).alias("held"))
-    joined = workers.join(held, "worker_id", "left").join(F.broadcast(plans), "plan")  # three plan rows
+    joined = workers.join(held, "worker_id", "left").join(plans, "plan")
     earning = F.coalesce("avg_daily_earning", F.lit(600.0))
     return joined.select(
         "worker_id",
@@ -47,7 +47,7 @@ def cap_use(workers: DataFrame, claims: DataFrame, plans: DataFrame, as_of: Colu
     recent = claims.where(
         is_approved() & (F.col("created_at") > as_of - F.expr("INTERVAL 7 DAYS")) & (F.col("created_at") <= as_of))
     used = recent.groupBy("worker_id").agg(F.sum("amount").alias("used"))
-    joined = workers.join(used, "worker_id", "left").join(F.broadcast(plans), "plan").withColumn(
+    joined = workers.join(used, "worker_id", "left").join(plans, "plan").withColumn(
         "used", F.coalesce("used", F.lit(0.0)))
     return joined.select(
         "worker_id", "used", "weekly_cap",
@@ -73,7 +73,7 @@ def overview(workers: DataFrame, policies: DataFrame, claims: DataFrame) -> Data
 
 
 def financials(workers: DataFrame, claims: DataFrame, plans: DataFrame) -> DataFrame:
-    priced = workers.join(F.broadcast(plans), "plan", "left")
+    priced = workers.join(plans, "plan", "left")
     money = one_row(
         claims.agg(sum_if(is_approved(), "amount").alias("total_payout"),
                    sum_if(is_approved() & F.col("payout_processed"), "amount").alias("payout_processed")),

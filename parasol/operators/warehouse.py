@@ -89,7 +89,7 @@ def plan_table(spark: SparkSession) -> DataFrame:
 
 def dim_policy(workers: DataFrame) -> DataFrame:
     """One row per plan in use, with the tier's price, cap and speed."""
-    plans = F.broadcast(plan_table(workers.sparkSession))  # three fixed rows
+    plans = plan_table(workers.sparkSession)
     return workers.select("plan").distinct().join(plans, "plan").select(
         surrogate("plan").alias("policy_key"), F.col("plan").alias("plan_type"),
         "weekly_premium", "weekly_cap", F.col("plan_speed").alias("payout_speed"),

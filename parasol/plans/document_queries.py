@@ -209,7 +209,7 @@ FROM req r FULL JOIN old o ON r.worker_name = o.worker_name LEFT JOIN plans p ON
 def m5(t):
     start, at = F.lit("1995-01-01").cast("timestamp_ntz"), F.lit("2001-08-02").cast("timestamp_ntz")
     existing = t.workers.where("policy_paused or worker_id % 3 = 0").join(
-        F.broadcast(t.plans), "plan").select(
+        t.plans, "plan").select(
         "worker_name", "plan", F.lit("paused").alias("status"), "weekly_premium", "weekly_cap",
         start.alias("created_at"), start.alias("updated_at"))
     requests = t.workers.where("not policy_paused").select(

@@ -13,31 +13,39 @@ from parasol.sources import topics
 from parasol.sources.store import BatchTable
 from parasol.streaming import burst, dedup, outbox, ttl
 from parasol.streaming.envelope import dead_letters, envelope, opened, unreadable
-from parasol.streaming.fraud_job import FraudJob, apply_to_claims, flag_increments
+from parasol.streaming.fraud_job import FraudJob, apply_to_claims
 from parasol.streaming.payout_job import PayoutJob
 from parasol.streaming.runs import append_to_files, run_batches
 
 _RUNS = {}
 
 
-def once(t, name, build):
-    """Result of ``build``, once per session and input folder."""
+def once(t, name, user, build):
+    """Result of ``build``, shared by different queries of a session and folder; a query that asks again gets a new one."""
     key = (t.spark.sparkContext.applicationId, t.sf_dir, name)
-    if key not in _RUNS:
-        _RUNS[key] = build()
-    return _RUNS[key]
+    result, users = _RUNS.get(key, (None, set()))
+    if not users or user in users:
+        result, users = build(), set()
+    _RUNS[key] = (result, users | {user})
+    return result
 
 
-def feed(rows, order, cuts, folder, drain):
-    """Land the rows in order of time, one slice per cut, and let the stream catch up each time."""
-    low = None
+def feed(rows, order, cuts, folder, drain, redeliver=False):
+    """Land the rows in order of time, one slice per cut, and let the stream catch up each time.
+
+    With ``redeliver`` each slice comes again with the next one, and all come once more at the end.
+    """
+    low, last = None, None
     for cut in [*cuts, None]:
         part = rows if low is None else rows.where(F.col(order) > F.lit(low).cast("timestamp_ntz"))
         if cut is not None:
             part = part.where(F.col(order) <= F.lit(cut).cast("timestamp_ntz"))
-        part.write.mode("append").parquet(folder)
+        (part if last is None or not redeliver else part.unionAll(last)).write.mode("append").parquet(folder)
+        drain()
+        low, last = cut, part
+    if redeliver:
+        rows.write.mode("append").parquet(folder)
         drain()
-        low = cut
 
 
 MONTH_CUTS = ["2024-01-11", "2024-01-21"]
@@ -95,7 +103,7 @@ def k2b(t):
     return done.read()
 
 
-def fraud_run(t):
+def fraud_run(t, redeliver=False):
     root = scratch_path(t.spark, "fraud")
     # Aggregated once; every batch reads the written result.
     sides = [materialized(df, name) for df, name in zip(side_inputs(t), ("weather", "traces"))]
@@ -103,7 +111,7 @@ def fraud_run(t):
                    period="yyyy")  # the landed slices span years
     t.spark.createDataFrame([], t.claims.schema).write.parquet(f"{root}/landed")
     source = t.spark.readStream.schema(t.claims.schema).parquet(f"{root}/landed")
-    feed(t.claims, "created_at", YEAR_CUTS, f"{root}/landed", lambda: run_batches(source, job.handle, f"{root}/checkpoint"))
+    feed(t.claims, "created_at", YEAR_CUTS, f"{root}/landed", lambda: run_batches(source, job.handle, f"{root}/checkpoint"), redeliver)
     return job
 
 
@@ -114,26 +122,38 @@ routed AS (SELECT l.*, CASE WHEN NOT approved THEN 'rejected_fraud' WHEN coalesc
 """
 
 
-@query("k3_fraud_job", f"""
+DECIDED_SQL = f"""
 WITH {LAYERS_SQL}, {ROUTED_SQL} SELECT claim_sk, new_status AS status, speed AS payout_speed, CAST(trunc(score) AS INT) AS fraud_score, risk_level,
  CASE WHEN approved THEN 'claim.approved' ELSE 'claim.rejected' END AS topic FROM routed
-""")
-def k3(t):
-    job = once(t, "fraud", lambda: fraud_run(t))
+"""
+
+
+def decided(job):
     sent = opened(job.events.read()).select(
         F.get_json_object("payload", "$.claim_sk").cast("bigint").alias("claim_sk"), "topic")
     return job.decisions.read().join(sent, "claim_sk").select(
         "claim_sk", "status", "payout_speed", "fraud_score", "risk_level", "topic")
 
 
+@query("k3_fraud_job", DECIDED_SQL)
+def k3(t):
+    return decided(once(t, "fraud", "k3", lambda: fraud_run(t)))
+
+
+@query("k3_redelivery", DECIDED_SQL)
+def k3_redelivery(t):
+    """Every claim is delivered two or three times, in different batches."""
+    return decided(fraud_run(t, redeliver=True))
+
+
 @query("k3_claim_and_flag_updates", f"""
 WITH {LAYERS_SQL}, {ROUTED_SQL}, f AS (SELECT worker_id, count(*) AS n FROM routed WHERE new_status = 'rejected_fraud' GROUP BY 1)
 SELECT r.claim_sk, r.new_status AS status, coalesce(f.n, 0) AS new_flags FROM routed r LEFT JOIN f ON f.worker_id = r.worker_id
 """)
 def k3b(t):
-    made = once(t, "fraud", lambda: fraud_run(t)).decisions.read()
-    updated = apply_to_claims(t.claims, made)
-    return updated.join(flag_increments(made), "worker_id", "left").select(
+    job = once(t, "fraud", "k3b", lambda: fraud_run(t))
+    flags = job.flags.read().groupBy("worker_id").agg(F.sum("new_flags").alias("new_flags"))
+    return apply_to_claims(t.claims, job.statuses.read()).join(flags, "worker_id", "left").select(
         "claim_sk", "status", F.coalesce("new_flags", F.lit(0)).alias("new_flags"))
 
 
@@ -142,7 +162,7 @@ SELECT device_id, worker_id, claim_sk FROM (SELECT c.*, row_number() OVER (PARTI
  FROM claims c JOIN workers w USING (worker_id) WHERE w.pincode <> '999999') q WHERE rn = 1
 """)
 def k13(t):
-    return once(t, "fraud", lambda: fraud_run(t)).history.devices.read().select("device_id", "worker_id", "claim_sk")
+    return once(t, "fraud", "k13", lambda: fraud_run(t)).history.devices.read().select("device_id", "worker_id", "claim_sk")
 
 
 def payout_run(t, replay=False):
@@ -173,13 +193,13 @@ SELECT p.claim_sk, c.claim_id, p.amount, CAST(trunc(p.amount * 100) AS BIGINT) A
 
 @query("k4_payout_job", PAID_SQL)
 def k4(t):
-    return once(t, "payouts", lambda: payout_run(t)).payouts.read().select(
+    return once(t, "payouts", "k4", lambda: payout_run(t)).payouts.read().select(
         "claim_sk", "claim_id", "amount", "amount_paise", "upi", "idempotency_key", "mode")
 
 
 @query("k5_idempotency_under_replay", f"SELECT idempotency_key, 1::BIGINT AS payouts, 1::BIGINT AS events FROM ({PAID_SQL}) q")
 def k5(t):
-    job = once(t, "replayed", lambda: payout_run(t, replay=True))
+    job = once(t, "replayed", "k5", lambda: payout_run(t, replay=True))
     paid = job.payouts.read().groupBy("idempotency_key").agg(F.count(F.lit(1)).alias("payouts"))
     sent = opened(job.events.read()).groupBy(
         F.get_json_object("payload", "$.idempotency_key").alias("idempotency_key")).agg(F.count(F.lit(1)).alias("events"))

@@ -88,9 +88,8 @@ def cascade(requests: DataFrame, primary: DataFrame, secondary: DataFrame, fallb
     def side(df, name):
         return df.select(key, F.struct(*fields).alias(name))
 
-    zone = F.broadcast(fallback.select(  # sixteen fixed rows
-        "pincode", F.struct(F.col("rain").alias("rain_intensity"), "duration",
-                            F.col("wind").alias("wind_speed")).alias("_zone")))
+    zone = fallback.select(
+        "pincode", F.struct(F.col("rain").alias("rain_intensity"), "duration", F.col("wind").alias("wind_speed")).alias("_zone"))
     default = F.struct(
         F.lit(DEFAULT_FALLBACK_READING["rain"]).alias("rain_intensity"),
         F.lit(DEFAULT_FALLBACK_READING["duration"]).alias("duration"),
@@ -107,7 +106,7 @@ def cascade(requests: DataFrame, primary: DataFrame, secondary: DataFrame, fallb
 
 def geocode(pins: DataFrame, known: DataFrame, responses: DataFrame) -> DataFrame:
     """Coordinates and place of each pincode: the known list, else the geocoder's answer."""
-    known = F.broadcast(known.select("pincode", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "place"))
+    known = known.select("pincode", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "place")
     hit = responses.select("pincode", F.get(F.from_json("body", PLACE), F.lit(0)).alias("_hit"))
     a = "_hit.address."
     named = F.coalesce(a + "suburb", a + "city_district", a + "city", a + "town", a + "state_district",

@@ -63,9 +63,9 @@ def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def seed_workers(flat: DataFrame) -> DataFrame:
-    """Flat worker records as stored documents, one per name."""
-    return nest_worker(flat.dropDuplicates(["worker_name"]))
+def seed_workers(flat: DataFrame, order: str = "worker_id") -> DataFrame:
+    """Flat worker records as stored documents; of records with one name the last by ``order`` stays."""
+    return nest_worker(latest_per_key(flat, ["worker_name"], [order]))
 
 
 def seed_claims(flat: DataFrame, homes: DataFrame, loaded_at: Column, id_width: int = 4) -> DataFrame:

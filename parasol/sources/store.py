@@ -2,7 +2,8 @@
 
 Every write is idempotent. Redoing a batch, a version or a merge after a lost
 executor or a failed driver overwrites the same folder with the same rows, and
-a folder counts only once Spark has put its _SUCCESS marker there.
+a folder counts only once Spark has put its _SUCCESS marker there, or once a
+manifest names it.
 """
 
 from __future__ import annotations
@@ -92,27 +93,45 @@ class MergedTable:
     """Large table partitioned by a column that never changes for a key.
 
     A merge reads and rewrites only the partitions its changes fall into, so
-    its cost follows the changes, not the table.
+    its cost follows the changes, not the table. It writes new folders beside
+    the old ones; a manifest of one row per partition names the folder that
+    counts and is switched last. Until then readers see the table as it was,
+    and a merge cut short is simply done again.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], partition: str):
         self.spark, self.path, self.keys, self.partition = spark, path, keys, partition
+        self.manifest = VersionedTable(spark, f"{path}/manifest")
 
-    def read(self) -> DataFrame | None:
-        if not [n for n, _ in _listing(self.spark, self.path) if n.startswith(self.partition + "=")]:
+    def _folders(self) -> dict[str, int]:
+        """The merge that wrote each partition; as many rows as partitions."""
+        saved = self.manifest.read()
+        return {r["value"]: r["merge"] for r in saved.collect()} if saved is not None else {}
+
+    def _read(self, folders: dict[str, int]) -> DataFrame | None:
+        if not folders:
             return None
-        return self.spark.read.parquet(self.path)
-
-    def merge(self, changes: DataFrame) -> None:
-        """``changes`` are unique by key and carry every column."""
-        current = self.read()
-        merged = changes
-        if current is not None:
-            touched = [r[0] for r in changes.select(self.partition).distinct().collect()]  # partition names
-            if not touched:
-                return
-            old = current.where(F.col(self.partition).isin(touched)).select(*changes.columns)
-            merged = upsert(old, changes, [*self.keys, self.partition])
+        paths = [f"{self.path}/data/merge={n}/{self.partition}={value}" for value, n in sorted(folders.items())]
+        return self.spark.read.option("basePath", f"{self.path}/data").parquet(*paths).drop("merge")
+
+    def read(self) -> DataFrame | None:
+        return self._read(self._folders())
+
+    def merge(self, changes: DataFrame, matched: list[str] | None = None) -> None:
+        """``changes`` are unique by key and carry every column. Known keys take the columns in ``matched`` (all if None)."""
+        n, folders = self.manifest.version() + 1, self._folders()
+        staged = f"{self.path}/staged/merge={n}"  # computed once, also for what it touches
+        changes.write.mode("overwrite").parquet(staged)
+        changes = self.spark.read.schema(changes.schema).parquet(staged)
+        touched = [str(r[0]) for r in changes.select(self.partition).distinct().collect()]  # partition names
+        if not touched:
+            return
+        merged, old = changes, self._read({v: m for v, m in folders.items() if v in touched})
+        if old is not None:
+            old = old.select(*[F.col(f.name).cast(f.dataType) for f in changes.schema.fields])
+            merged = upsert(old, changes, [*self.keys, self.partition], matched=matched)
         # Rebalancing keeps files large: small partitions share a task, a hot one is split.
         (merged.hint("rebalance", self.partition).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy(self.partition).parquet(self.path))
+         .partitionBy(self.partition).parquet(f"{self.path}/data/merge={n}"))
+        rows = sorted({**folders, **dict.fromkeys(touched, n)}.items())
+        self.manifest.write(self.spark.createDataFrame(rows, "value string, merge int"))

@@ -37,7 +37,7 @@ def drain(outbox: DataFrame, delivered: Column, limit: int | None = None) -> Dat
         marked = outbox.withColumn("_taken", taken)
     else:
         picked = pending_outbox(outbox, limit).select("event_id", F.lit(True).alias("_hit"))
-        marked = outbox.join(F.broadcast(picked), "event_id", "left").withColumn(  # at most ``limit`` rows
+        marked = outbox.join(picked, "event_id", "left").withColumn(
             "_taken", F.coalesce("_hit", F.lit(False))).drop("_hit")
     exhausted = F.col("retry_count") >= OUTBOX_MAX_RETRIES
     status = (F.when(~F.col("_taken"), F.col("status")).when(exhausted, "failed")

@@ -33,11 +33,11 @@ def test_versions_and_merges(spark, tmp_path):
     merged = MergedTable(spark, f"{tmp_path}/m", ["k"], "p")
     merged.merge(spark.createDataFrame([(1, "a", 1), (2, "b", 1), (3, "c", 2)], "k int, s string, p int"))
     again = spark.createDataFrame([(2, "B", 1), (4, "d", 1)], "k int, s string, p int")
-    before = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "m" / "p=2").iterdir()}
+    before = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "m" / "data" / "merge=1" / "p=2").iterdir()}
     for _ in range(2):
         merged.merge(again)
     assert sorted((r.k, r.s) for r in merged.read().collect()) == [(1, "a"), (2, "B"), (3, "c"), (4, "d")]
-    assert {f.name: f.stat().st_mtime_ns for f in (tmp_path / "m" / "p=2").iterdir()} == before  # untouched
+    assert {f.name: f.stat().st_mtime_ns for f in (tmp_path / "m" / "data" / "merge=1" / "p=2").iterdir()} == before  # untouched
 
 
 def test_upsert_replaces_nulls_and_keeps_missing_columns(spark):
