@@ -67,6 +67,10 @@ class BatchTable:
             return empty(self.spark, self.schema)
         return self._open([f"{self.path}/{name}" for name in done])
 
+    def newest(self, before: int) -> int | None:
+        """The last committed batch before ``before``."""
+        return max((b for b in (int(n.split("=")[1]) for n, ok in _listing(self.spark, self.path) if ok) if b < before), default=None)
+
     def read_batch(self, batch_id: int) -> DataFrame:
         return self._open([f"{self.path}/batch_id={batch_id}"])
 

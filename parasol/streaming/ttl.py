@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from parasol.functions.temporal import micros
 from parasol.operators import scans
-from parasol.sources.store import BatchTable
+from parasol.sources.store import BatchTable, empty
 
 
 class LatestLookup:
     """Answers each probe with the newest fact of its key that has not expired.
 
-    The state is one row per key: the newest fact before the batch. Batch ``n``
-    reads the state batch ``n - 1`` left, so a repeated batch gives the same
-    answers and the same state.
+    The state is one row per live key: the newest fact so far, unless it had
+    expired when the newest fact or probe of the batch came. A batch reads the
+    newest state an earlier batch left and writes the whole state anew, so a
+    repeated batch gives the same answers and the same state, and what a batch
+    reads does not grow with the batches before it.
     """
 
     def __init__(self, spark: SparkSession, root: str, key: str, fact: str, seconds: int):
@@ -24,8 +26,8 @@ class LatestLookup:
         self.answers = BatchTable(spark, f"{root}/answers", f"probe_id bigint, {key} string, fact_id bigint")
 
     def _before(self, batch_id: int) -> DataFrame:
-        kept = self.state.read(before=batch_id)
-        return kept.groupBy(self.key).agg(F.max(F.struct("at", "fact_id")).alias("s")).select(self.key, "s.*")
+        last = self.state.newest(before=batch_id)
+        return empty(self.state.spark, self.state.schema) if last is None else self.state.read_batch(last)
 
     def handle(self, probes: DataFrame, facts: DataFrame, batch_id: int) -> None:
         """``probes`` and ``facts`` carry the key, ``ts`` and the id column."""
@@ -34,5 +36,7 @@ class LatestLookup:
         asked = probes.select(self.key, micros("ts").alias("asked"), F.col(self.fact).alias("probe_id"))
         found = scans.last_known(asked, known, [self.key], "asked", "at", "fact_id", ["fact_id"], ttl=self.ttl)
         self.answers.write(found.select("probe_id", self.key, "fact_id"), batch_id)
-        newest = fresh.groupBy(self.key).agg(F.max(F.struct("at", "fact_id")).alias("s"))
-        self.state.write(newest.select(self.key, "s.*"), batch_id)
+        newest = known.groupBy(self.key).agg(F.max(F.struct("at", "fact_id")).alias("s")).select(self.key, "s.*")
+        clock = fresh.select("at").unionAll(asked.select("asked")).agg(F.max("at").alias("now"))  # one row
+        live = newest.join(clock, F.lit(True)).where(F.col("now").isNull() | (F.col("at") >= F.col("now") - F.lit(2 * self.ttl)))
+        self.state.write(live.drop("now"), batch_id)

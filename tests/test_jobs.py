@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parasol.operators import change, fraud, warehouse as wh
-from parasol.operators.iforest import fit_forest
+from parasol.operators.iforest import fit_forest, tree_samples
 from parasol.plans.warehouse import Warehouse, run_full_etl
 from parasol.session import scratch_path
 from parasol.sources.store import BatchTable, MergedTable, VersionedTable
@@ -40,6 +40,19 @@ def test_versions_and_merges(spark, tmp_path):
     assert {f.name: f.stat().st_mtime_ns for f in (tmp_path / "m" / "data" / "merge=1" / "p=2").iterdir()} == before  # untouched
 
 
+def test_merge_cut_short_leaves_the_table(spark, tmp_path):
+    table = MergedTable(spark, f"{tmp_path}/m", ["k"], "p")
+    table.merge(spark.createDataFrame([(1, "a", 10, 1), (2, "b", 20, 1)], "k int, s string, n int, p int"))
+    change_rows = spark.createDataFrame([(2, "B", 99, 1), (3, "c", 30, 2)], "k int, s string, n int, p int")
+    switch, table.manifest.write = table.manifest.write, lambda df: (_ for _ in ()).throw(RuntimeError("lost"))
+    with pytest.raises(RuntimeError):
+        table.merge(change_rows, matched=["s"])
+    assert sorted(tuple(r) for r in table.read().select("k", "s", "n").collect()) == [(1, "a", 10), (2, "b", 20)]
+    table.manifest.write = switch
+    table.merge(change_rows, matched=["s"])  # only s of a known key changes
+    assert sorted(tuple(r) for r in table.read().select("k", "s", "n").collect()) == [(1, "a", 10), (2, "B", 20), (3, "c", 30)]
+
+
 def test_upsert_replaces_nulls_and_keeps_missing_columns(spark):
     base = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "k int, s string, n int")
     new = spark.createDataFrame([(2, None), (3, "c")], "k int, s string")
@@ -102,6 +115,15 @@ def features(tables):
     return fraud.ml_features(rows).select("claim_sk", *fraud.ML_FEATURES)
 
 
+@pytest.mark.parametrize("n", [100, 300, 500, 20_000])
+def test_every_tree_gets_its_whole_sample(spark, n):
+    rows = spark.range(n).select("id", (F.col("id") % 97).alias("a"), (F.col("id") % 13).alias("b"))
+    seats, size = tree_samples(rows, "id", ["a", "b"], n_trees=120, sample=256)
+    by_tree = seats.groupBy("tree").agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys")).collect()
+    assert size == min(256, n) and len(by_tree) == 120
+    assert all(r.n == size and r["keys"] == size for r in by_tree)
+
+
 def test_forest_does_not_depend_on_partitions(spark, features):
     def scores(df):
         forest = fit_forest(df, "claim_sk", fraud.ML_FEATURES, n_trees=20, sample=64)
