@@ -11,10 +11,10 @@ decoded by Viterbi, page by page.
 *Labelled pages.* ``layouts`` writes pages of many layouts whose blocks are
 labelled as they are written: with and without sectioning elements, with menus,
 headers, sidebars, notices, adverts, forms, footers and reader comments before,
-inside and after the article. The words that fill them come from ``SAMPLE_PAGES``
-pages of the table, the ones with the smallest hashed ids, up to ``SAMPLE_CHARS``
-characters of each. In training, features are left out at random, so that no
-single one carries the decision.
+inside and after the article, also of pages whose text is full of odd signs. The
+words that fill them come from ``SAMPLE_PAGES`` pages of the table, the ones with
+the smallest hashed ids, up to ``SAMPLE_CHARS`` characters of each. In training,
+features are left out at random, so that no single one carries the decision.
 
 A null or empty page, or one without text, has an empty text. Repeated rows are
 extracted each for itself. Pages of any length are read whole. Further columns
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from html import escape
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +85,7 @@ _MAIN = ("<article>", "<main>", "<div class='content'>", "<div id='content'>", "
          "<div class='entry-content'>", "<div class='article-text'>", "<section class='story'>", "<div>", "<article class='post'>",
          "<div role='main'>", "<td>")
 _P = ("<p>",)
+NOISE = ("", "!!", "###", "&&&", "***", " 7,", "%")
 OTHER = {
     "menu": (_MENU, ("<li><a>", "<a>", "<li>", "<div><a>"), (2, 8), (1, 3), 0.1),
     "head": (_HEAD, ("<p>", "<div>", "<h1>", "<h2>", "<a>"), (1, 3), (1, 8), 0.2),
@@ -103,12 +105,12 @@ def _closing(opening: str) -> str:
 def layouts(words: list[str], pages: int, seed: int = 7) -> list[str]:
     """Labelled pages: elements carry ``data-gold``, 1 for main text and 0 for the rest."""
     pick = random.Random(seed)
-    words = words or ["word"]
+    words, noisy = words or ["word"], False
 
     def phrase(low: int, high: int, punctuated: float) -> str:
         n = int(low * (high / low) ** pick.random())
-        found = [pick.choice(words) for _ in range(n)]
-        return " ".join(found).rstrip(".,") + ("." if pick.random() < punctuated else "")
+        found = [pick.choice(words) + (pick.choice(NOISE) if noisy else "") for _ in range(n)]
+        return escape(" ".join(found).rstrip(".,") + ("." if pick.random() < punctuated and not noisy else ""))
 
     def labelled(opening: str, label: int) -> str:
         return opening.replace(">", f" data-gold='{label}'>", 1)
@@ -143,6 +145,7 @@ def layouts(words: list[str], pages: int, seed: int = 7) -> list[str]:
 
     found = []
     for _ in range(pages):
+        noisy = pick.random() < 0.3  # pages of odd signs, whose text looks like no prose
         heading, body = main()
         before = [region(k) for k in ("head", "menu", "note", "ad", "side", "form") if pick.random() < 0.45]
         after = [region(k) for k in ("talk", "side", "ad", "form", "note", "menu", "foot") if pick.random() < 0.4]
@@ -230,7 +233,10 @@ def decode(model: dict, blocks: list[Block]) -> list[bool]:
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE_PAGES) -> dict:
     """A model trained on the labelled layouts with the words of at most ``sample`` pages."""
     rows = pages.select(F.col(html_col).alias("html"), F.xxhash64(id_col).alias("h")).where("html IS NOT NULL")
-    texts = [r["html"] for r in rows.orderBy("h", "html").limit(sample).select(F.substring("html", 1, SAMPLE_CHARS).alias("html")).collect()]
+    # The hashes are picked first, so that only the sample's pages leave their tasks.
+    last = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    chosen = rows.where(F.col("h") <= last).select("h", F.substring("html", 1, SAMPLE_CHARS).alias("html")).limit(sample) if last is not None else None
+    texts = [r["html"] for r in sorted(chosen.collect())] if chosen is not None else []
     words = [w for t in texts for b in leaf_blocks(t) for w in b.text.split(" ")]
     return train([leaf_blocks(page) for page in layouts(words, LAYOUT_PAGES)])
 
