@@ -12,7 +12,7 @@ takes them back. Separators stay as written.
 | kind | range | kept |
 | --- | --- | --- |
 | card | all digits between the first and the last | first digit; the last is the new Luhn digit |
-| phone, North America | area and exchange 200-999, line 0000-9999 | a leading 1 |
+| phone, North America | ten digits, also of area codes that are not given out | a leading 1 |
 | phone, others with + | all digits from the third on | first two digits |
 | ssn | area 001-899 but 666, group 01-99, serial 0001-9999 | |
 | ip | 32 bits | |
@@ -37,7 +37,7 @@ SSN = r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?
 ISO_DATE = r"(?<![0-9A-Za-z-])(?:1[89]|2[01])[0-9]{2}-[01][0-9]-[0-3][0-9](?![0-9A-Za-z-])"
 DAY_DATE = r"(?<![0-9A-Za-z./])[0-3][0-9]([./])[01][0-9]\1(?:1[89]|2[01])[0-9]{2}(?![0-9A-Za-z]|[./][0-9])"
 IP = rf"(?<![0-9A-Za-z.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])"
-NANP = r"(?<![0-9A-Za-z])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z])"
+NANP = r"(?<![0-9A-Za-z])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"
 WORLD = r"(?<![0-9A-Za-z+])\+[2-9][0-9](?:[ .-]?\(?[0-9]{1,4}\)?){2,5}(?![0-9A-Za-z])"
 CARD = r"(?<![0-9A-Za-z-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z-])"
 PATTERN = "|".join((EMAIL, SSN, ISO_DATE, DAY_DATE, IP, NANP, WORLD, CARD))  # \\1 is the only group's
@@ -107,14 +107,9 @@ def _card(m: Column, key: str, back: bool) -> Column:
 
 def _nanp(m: Column, key: str, back: bool) -> Column:
     digits = F.right(_digits(m), F.lit(10))
-    area, exchange, line = (F.substring(digits, a, n).cast("bigint") for a, n in ((1, 3), (4, 3), (7, 4)))
-    half = F.lit(80000).cast("bigint")
-    new = _feistel(((area - 200) * 800 + exchange - 200) * 10000 + line, half, half, F.lit("phone"), key, back)
-    head = F.call_function("div", new, F.lit(10000).cast("bigint"))
-    parts = F.concat((F.call_function("div", head, F.lit(800).cast("bigint")) + 200).cast("string"), (head % 800 + 200).cast("string"),
-                     F.lpad((new % 10000).cast("string"), 4, "0"))
+    new = _permuted_digits(digits, "phone", key, back)
     lead = F.substring(_digits(m), F.lit(1), F.length(_digits(m)) - 10)
-    return _refill(m, F.concat(lead, parts))
+    return _refill(m, F.concat(lead, new))
 
 
 def _world(m: Column, key: str, back: bool) -> Column:
