@@ -45,11 +45,11 @@ def topic_of(text: Column) -> Column:
 
 
 def tempered(cells: DataFrame, margin: str, temper: float) -> DataFrame:
-    """(margin value, target): the total tokens dealt out by tempered shares. Sums of ``tokens`` by value, then one row."""
+    """(margin value, target): the total tokens dealt out by tempered shares. Two sums go through the driver."""
     sums = cells.groupBy(margin).agg(F.sum("tokens").cast("double").alias("n"))
-    whole = sums.agg(F.sum("n").alias("whole"), F.sum(F.pow("n", F.lit(temper))).alias("powers"))
-    share = F.when(F.col("powers") > 0, F.pow("n", F.lit(temper)) / F.col("powers")).otherwise(0.0)
-    return sums.join(F.broadcast(whole), F.lit(True)).select(margin, (share * F.col("whole")).alias("target"))
+    whole, powers = sums.agg(F.sum("n"), F.sum(F.pow("n", F.lit(temper)))).first()
+    share = F.pow("n", F.lit(temper)) / F.lit(powers) if powers else F.lit(0.0)
+    return sums.select(margin, (share * F.lit(whole or 0.0)).alias("target"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
@@ -93,10 +93,10 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tem
         "mix-cells")
     fitted = rake(cells, targets or {m: tempered(cells, m, (temper or TEMPER)[m]) for m in MARGINS}, rounds)
     fitted = materialized(fitted, "mix-fitted")
-    largest = fitted.where("tokens > 0").agg(F.max("factor").alias("largest"))
-    fitted = fitted.join(F.broadcast(largest), F.lit(True)).select(
-        *[F.col(m).alias(f"cell_{m}") for m in MARGINS], F.col("factor").alias("weight"),
-        F.least(F.lit(1.0), F.coalesce(F.col("factor") / F.col("largest"), F.lit(1.0))).alias("probability"))
+    largest = fitted.where("tokens > 0").agg(F.max("factor")).first()[0]
+    probability = F.least(F.lit(1.0), F.col("factor") / F.lit(largest)) if largest else F.lit(1.0)
+    fitted = fitted.select(*[F.col(m).alias(f"cell_{m}") for m in MARGINS], F.col("factor").alias("weight"),
+                           probability.alias("probability"))
     # Written, so that its size is known: the planner sends it to the documents if it is small.
     fitted = materialized(fitted, "mix-probabilities")
     on = [F.col(key[m]) == F.col(f"cell_{m}") for m in MARGINS]
