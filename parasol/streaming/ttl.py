@@ -37,6 +37,5 @@ class LatestLookup:
         found = scans.last_known(asked, known, [self.key], "asked", "at", "fact_id", ["fact_id"], ttl=self.ttl)
         self.answers.write(found.select("probe_id", self.key, "fact_id"), batch_id)
         newest = known.groupBy(self.key).agg(F.max(F.struct("at", "fact_id")).alias("s")).select(self.key, "s.*")
-        clock = fresh.select("at").unionAll(asked.select("asked")).agg(F.max("at").alias("now"))  # one row
-        live = newest.join(clock, F.lit(True)).where(F.col("now").isNull() | (F.col("at") >= F.col("now") - F.lit(2 * self.ttl)))
-        self.state.write(live.drop("now"), batch_id)
+        now = fresh.select("at").unionAll(asked.select("asked")).agg(F.max("at")).first()[0]  # one number
+        self.state.write(newest if now is None else newest.where(F.col("at") >= now - 2 * self.ttl), batch_id)
