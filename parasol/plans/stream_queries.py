@@ -169,7 +169,7 @@ def payout_run(t, replay=False):
     root = scratch_path(t.spark, "payouts")
     job = PayoutJob(t.spark, root)
     known = t.claims_with_zone.select("claim_sk", "claim_id", "worker_name", "status")
-    rows = t.payout_requests.join(known, "claim_sk")
+    rows = t.payout_requests.join(known, "claim_sk", "left")  # unknown claims are the job's to report
     t.spark.createDataFrame([], rows.schema).write.parquet(f"{root}/landed")
     source = t.spark.readStream.schema(rows.schema).parquet(f"{root}/landed")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parasol.constants import PAYOUT_COMPLETED
+from parasol.constants import PAYOUT_COMPLETED, PAYOUT_DLQ
 from parasol.functions.numeric import paise
 from parasol.functions.text import idempotency_key, upi_handle
 from parasol.operators.change import earliest_per_key
@@ -25,15 +25,22 @@ class PayoutJob:
 
     Requests carry claim_sk, claim_id, worker_name, status, amount, attempt, mode and
     requested_at. Within a batch the earliest request wins; a claim paid by an
-    earlier batch is skipped; redoing a batch rewrites the same folder.
+    earlier batch is skipped; redoing a batch rewrites the same folder. A request
+    of a claim nobody knows (no claim_id) is a dead letter, once per claim; should
+    the claim turn up, a later request is paid.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.payouts = BatchTable(spark, f"{root}/payouts", PAYOUTS)
         self.events = BatchTable(spark, f"{root}/events", EVENTS)
+        self.dead = BatchTable(spark, f"{root}/dead", EVENTS)
 
     def handle(self, batch: DataFrame, batch_id: int) -> None:
-        due = batch.where(F.col("status") == "approved")
+        lost = earliest_per_key(batch.where("claim_id is null"), ["claim_sk"], ["requested_at", "attempt", "amount", "mode"])
+        letters = dead_payouts(lost)
+        known = self.dead.read(before=batch_id).select("key").join(letters.select("key"), "key", "left_semi")
+        self.dead.write(letters.join(known, "key", "left_anti"), batch_id)
+        due = batch.where((F.col("status") == "approved") & F.col("claim_id").isNotNull())
         first = earliest_per_key(due, ["claim_sk"], ["requested_at", "attempt", "amount", "mode"])
         paid = self.payouts.read(before=batch_id).select("claim_sk").join(
             first.select("claim_sk"), "claim_sk", "left_semi")
@@ -55,6 +62,14 @@ def payout_events(payouts: DataFrame) -> DataFrame:
     return payouts.select(F.col("claim_id").alias("key"), value.alias("value"), F.lit(PAYOUT_COMPLETED).alias("topic"))
 
 
+def dead_payouts(requests: DataFrame) -> DataFrame:
+    """Dead letters of requests whose claim is unknown, keyed by the claim's number."""
+    key = F.col("claim_sk").cast("string")
+    payload = F.struct("claim_sk", "amount", "mode", F.lit("unknown claim").alias("reason"))
+    value = envelope(PAYOUT_DLQ, payload, "requested_at", event_id("claim_sk", F.lit(PAYOUT_DLQ)), "claim_sk", CONSUMER)
+    return requests.select(key.alias("key"), value.alias("value"), F.lit(PAYOUT_DLQ).alias("topic"))
+
+
 def mark_paid(claims: DataFrame, payouts: DataFrame) -> DataFrame:
     done = payouts.select("claim_sk", F.struct("idempotency_key", "upi", "processed_at").alias("_p"))
     return claims.join(done, "claim_sk", "left").withColumns({

@@ -109,6 +109,20 @@ def test_payouts_do_not_depend_on_batches(spark, tables):
     assert paid(["2003-01-01"]) == paid(["1996-01-01", "1998-06-01", "2000-01-01", "2003-01-01"])
 
 
+def test_requests_of_unknown_claims_are_dead_letters_once(spark):
+    schema = "claim_sk long, claim_id string, worker_name string, status string, amount double, attempt int, mode string, requested_at timestamp_ntz"
+    at = dt.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(1, "C1", "Ann Lee", "approved", 5.0, 1, "UPI", at), (2, None, None, None, 7.0, 1, "UPI", at),
+                                  (2, None, None, None, 7.0, 2, "UPI", at)], schema)
+    job = PayoutJob(spark, scratch_path(spark, "dead"))
+    for i in (0, 0, 1):
+        job.handle(rows, i)
+    assert [r.claim_id for r in job.payouts.read().collect()] == ["C1"]
+    assert [(r.key, r.topic) for r in job.dead.read().collect()] == [("2", "payout.processing.dlq")]
+    job.handle(rows.where("claim_sk = 2").fillna({"claim_id": "C2", "worker_name": "Bo", "status": "approved"}), 2)
+    assert sorted(r.claim_id for r in job.payouts.read().collect()) == ["C1", "C2"]
+
+
 @pytest.fixture(scope="module")
 def features(tables):
     rows = tables.claims.join(tables.workers.select(*fraud.WORKER_COLUMNS), "worker_id")
