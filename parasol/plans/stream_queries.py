@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from parasol.constants import TTL_SECONDS
+from parasol.constants import OUTBOX_BATCH, TTL_SECONDS
 from parasol.functions.temporal import micros
 from parasol.operators import matching
 from parasol.plans.fraud_queries import LAYERS_SQL, assembled, side_inputs
@@ -263,6 +263,18 @@ def k8(t):
     return outbox.drain(t.outbox, delivered=F.col("event_id") % 13 != 0).select("event_id", "status", "retry_count")
 
 
+@query("k8_outbox_cycle", f"""
+WITH picked AS (SELECT event_id FROM outbox WHERE status = 'pending' ORDER BY created_at, event_id LIMIT {OUTBOX_BATCH})
+SELECT o.event_id, CASE WHEN p.event_id IS NULL THEN status WHEN retry_count >= 10 THEN 'failed' WHEN o.event_id % 13 <> 0 THEN 'published' ELSE 'pending' END AS status,
+ CAST(retry_count + CASE WHEN p.event_id IS NOT NULL AND retry_count < 10 AND o.event_id % 13 = 0 THEN 1 ELSE 0 END AS INT) AS retry_count
+FROM outbox o LEFT JOIN picked p ON p.event_id = o.event_id
+""")
+def k8_cycle(t):
+    """One cycle takes the oldest pending events, as many as a poll does."""
+    done = outbox.drain(t.outbox, delivered=F.col("event_id") % 13 != 0, limit=OUTBOX_BATCH)
+    return done.select("event_id", "status", "retry_count")
+
+
 @query("k9_outbox_rows", """
 SELECT sha256(claim_id || '|claim.created') AS event_id, claim_id AS aggregate_id, 'claim.created' AS topic, 'pending' AS status, 0 AS retry_count,
  trigger_type AS sent_trigger FROM claims
