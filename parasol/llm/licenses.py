@@ -1,7 +1,7 @@
 """Licence scans by sparse TF-IDF cosine to templates, with inheritance along directories, in DataFrame functions only.
 
-*Statistics.* Document frequencies of the templates' terms are counted over all
-whole texts; a term of no template counts as one that no document has.
+*Statistics.* Document frequencies of all terms are counted over all whole texts;
+templates and lines are weighed by the same ones.
 *Lines.* Licence headers are lines. Cosine is exact but only computed where it
 can reach the threshold: with a template's terms in order of weight, the last
 ones whose weights together have a norm below the threshold cannot lift a line
@@ -57,11 +57,10 @@ def _line_terms(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def document_frequencies(texts: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
-    """The number of texts, and of those that hold each term; the vocabulary is the templates'."""
-    held = F.array_intersect(_line_terms(F.coalesce("text", F.lit(""))), F.array(*map(F.lit, vocabulary)))
-    counted = texts.select(F.explode(held).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    return texts.count(), {r["term"]: r["n"] for r in counted.collect()}
+def document_frequencies(texts: DataFrame) -> DataFrame:
+    """(term, n): the number of texts that hold each term. Tasks add up their own texts before terms move."""
+    held = F.array_distinct(_line_terms(F.col("text")))
+    return texts.select(F.explode(held).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
 def template_vectors(n: int, frequencies: dict[str, int], threshold: float) -> tuple[dict, dict, set[str]]:
@@ -88,7 +87,7 @@ def candidate_lines(docs: DataFrame, anchors: set[str]) -> DataFrame:
     return lines.where(F.lower("words").rlike(anchor)).distinct()
 
 
-def matched_lines(lines: DataFrame, vectors: dict, idf: dict, unseen: float, threshold: float) -> DataFrame:
+def matched_lines(lines: DataFrame, vectors: dict, n: int, frequencies: DataFrame, threshold: float) -> DataFrame:
     """(row key, path, total, line, n_terms, license, cosine): the best template of every line that reaches ``threshold``."""
     line = [*ROW_KEY, "path", "total", "line"]
     # A fixed few rows, written into the plan.
@@ -96,8 +95,10 @@ def matched_lines(lines: DataFrame, vectors: dict, idf: dict, unseen: float, thr
         [(name, t, w) for name, v in vectors.items() for t, w in v.items()], "license string, term string, w double")
     each = lines.select(*line, F.explode(_line_terms(F.col("words"))).alias("term"))
     counted = each.groupBy(*line, "term").agg(F.count("*").alias("tf"))
-    weights = F.create_map(*[x for t in sorted(idf) for x in (F.lit(t), F.lit(idf[t]))])
-    weighted = counted.withColumn("weight", F.col("tf") * F.coalesce(F.element_at(weights, F.col("term")), F.lit(unseen)))
+    # The lines' distinct terms are few beside all texts': their frequencies are found once, not for each line.
+    idf = frequencies.join(each.select("term").distinct(), "term").select(
+        "term", (F.log(F.lit(1.0 + n) / (1 + F.col("n"))) + 1).alias("idf"))
+    weighted = counted.join(idf, "term").withColumn("weight", F.col("tf") * F.col("idf"))
     norms = weighted.groupBy(*ROW_KEY, "path", "line").agg(
         F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"), F.sum("tf").alias("n_terms"))
     dots = weighted.join(table, "term").groupBy(*line, "license").agg(F.sum(F.col("weight") * F.col("w")).alias("dot"))
@@ -121,10 +122,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", path_col: str = "path"
     """Per document: id, path, own_license, own_cosine, is_license_file, license, inherited_from (a directory, or null)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"), *row_key(id_col, text_col))
     vocabulary = sorted({t for text in TEMPLATES.values() for t in terms(text)})
-    n, frequencies = document_frequencies(rows, vocabulary)
-    vectors, idf, anchors = template_vectors(n, frequencies, threshold)
+    n, frequencies = rows.count(), materialized(document_frequencies(rows), "license-terms")
+    known = {f["term"]: f["n"] for f in frequencies.where(F.col("term").isin(vocabulary)).collect()}
+    vectors, _, anchors = template_vectors(n, known, threshold)
     candidates = materialized(candidate_lines(rows.drop("id"), anchors), "license-candidates")
-    lines = matched_lines(candidates, vectors, idf, math.log(1 + n) + 1, threshold)
+    lines = matched_lines(candidates, vectors, n, frequencies, threshold)
     best = F.min(F.struct((-F.col("cosine")).alias("minus"), "license")).alias("best")
     own = lines.groupBy(*ROW_KEY, "path", "total").agg(best, F.sum("n_terms").alias("licensed"))
     own = materialized(own.select(

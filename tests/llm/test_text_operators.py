@@ -118,6 +118,15 @@ def test_licences_and_their_directories(spark):
     assert licenses.license_scan(docs.limit(0)).count() == 0
 
 
+def test_common_words_beside_a_notice_weigh_little(spark):
+    for n in (50, 1000):
+        rows = [(0, "d/f", "prose\nReleased under the MIT License, see the file for details you may have.\n" + "prose\n" * 50)]
+        rows += [(i, f"{i}/f", "for details you may see the file we have") for i in range(1, n)]
+        docs = spark.createDataFrame(rows, "doc_id long, path string, text string")
+        found = {r.doc_id: r.own_license for r in licenses.license_scan(docs).where("own_license is not null").collect()}
+        assert found == {0: "MIT"}
+
+
 def test_every_template_names_its_own_licence(spark):
     rows = [(i, f"{i}/f", "words before\n" + text) for i, text in enumerate(licenses.TEMPLATES.values())]
     docs = spark.createDataFrame(rows, "doc_id long, path string, text string")
