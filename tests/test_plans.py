@@ -48,3 +48,15 @@ def test_zone_windows_are_split_by_cell(spark):
     text = plan(spark, "w1_zone_burst")
     raw = re.findall(r"Window \[[^\]]*v#\d+L?\)[^\]]*\], \[([^\]]*)\]", text)
     assert raw and all("_cell" in keys for keys in raw)
+
+
+def test_premium_queries_train_the_default_model(tables, monkeypatch):
+    import inspect
+
+    from parasol.plans import learning, model_queries
+    right, asked = inspect.signature(learning.train_premium_model), []
+    monkeypatch.setattr(learning, "train_premium_model", lambda *a, **k: asked.append(right.bind(*a, **k)))
+    monkeypatch.setattr(model_queries, "once", lambda t, name, user, build: build())
+    model_queries._premium_model(tables, "test")
+    asked[0].apply_defaults()
+    assert (asked[0].arguments["trees"], asked[0].arguments["rate"], asked[0].arguments["depth"]) == (400, 0.03, 6)
