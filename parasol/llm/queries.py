@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parasol.llm import decontaminate, exact_dedup, html_crf, licenses, mixing, pii, simhash, tokens, toxicity, warc
+from parasol.llm import bpe_trie, decontaminate, exact_dedup, html_crf, licenses, mixing, pii, simhash, tokens, toxicity, warc
 from parasol.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with pseudonyms. The key is a demonstration's; a deployment brings its own."""
     found = pii.pseudonymise(table(spark, sf_dir, "documents"), key="demonstration key")
     return found.select("doc_id", "text", "n_values", "kinds")
+
+
+@query("op13_bpe_trie")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoding of every document under the public word BPE, and its decoding, as digests."""
+    import public_tokenizers
+
+    return bpe_trie.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digests=True)
