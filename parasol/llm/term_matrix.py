@@ -33,7 +33,8 @@ from parasol.llm.word_arrays import batch_words, byte_class, slices
 from parasol.session import scratch_path
 
 BUCKETS = 1024  # of the dictionary; a bucket is numbered by one sort
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 32 << 20
+READ_BYTES = 4 << 20  # of text whose words are found at once
 SHARDS_A_TASK = 1 << 24
 WHITE = " \t\n\x0b\x0c\r"
 CSR = "indptr binary, indices binary, counts binary"
@@ -41,6 +42,17 @@ CSR = "indptr binary, indices binary, counts binary"
 ship_by_value(__name__)
 
 
+def shard_words(texts: pa.Array, word_bytes: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Word codes in text order, the distinct words, and the number of words of each text."""
+    parts, lengths = [], []
+    for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text", READ_BYTES):
+        codes, words, bounds = batch_words(part["text"], word_bytes)
+        parts.append(pa.DictionaryArray.from_arrays(pa.array(codes, pa.int32()), words))
+        lengths.append(np.diff(bounds))
+    whole = pa.chunked_array(parts).unify_dictionaries().combine_chunks()
+    return whole.indices.to_numpy(), whole.dictionary, np.concatenate(lengths)
+
+
 def local_shards(docs: DataFrame, text_col: str, keep: list[Column], buckets: int) -> DataFrame:
     """Shards over their own words: column k is the k-th word of ``words``, which lists the words of each bucket; ``starts`` has each list's first k."""
     word_bytes = byte_class(lambda c: c not in WHITE)
@@ -50,14 +62,15 @@ def local_shards(docs: DataFrame, text_col: str, keep: list[Column], buckets: in
         for batch in batches:
             for part in slices(batch, "text", SHARD_BYTES):
                 n = part.num_rows
-                codes, words, bounds = batch_words(part["text"], word_bytes)
+                codes, words, lengths = shard_words(part["text"], word_bytes)
                 bucket = np.array([zlib.crc32(w.encode()) % buckets for w in words.to_pylist()], np.int64)
                 order = np.argsort(bucket, kind="stable")
                 place = np.empty(len(order), np.int64)
                 place[order] = np.arange(len(order))
                 width = max(len(words), 1)
-                row = np.repeat(np.arange(n), np.diff(bounds))
-                cells, counts = np.unique(row * width + place[codes], return_counts=True)
+                cells = place[codes]
+                cells += np.repeat(np.arange(n) * width, lengths)
+                cells, counts = np.unique(cells, return_counts=True)
                 indptr = np.searchsorted(cells, np.arange(n + 1) * width)
                 starts = np.searchsorted(bucket[order], np.arange(buckets + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(starts, words.take(pa.array(order)).cast(pa.string()))
