@@ -25,7 +25,7 @@ from math import factorial
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from parasol.llm.term_matrix import document_term_matrix, row_measures
+from parasol.llm.term_matrix import row_measures
 from parasol.session import materialized
 
 MOST_FILTERS = 6  # 720 orders
@@ -44,7 +44,7 @@ def failures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
         symbols = symbols | text.contains(s)
     keep = [F.col(id_col).alias("id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"),
             (capitals(text) * 100 > F.length(text) * 10).alias("C"), symbols.alias("D"), F.unhex(F.sha2(text, 256)).alias("digest")]
-    rows = row_measures(document_term_matrix(docs, text_col, keep))
+    rows = row_measures(docs, text_col, keep)
     a, b = F.col("n_words") < 100, F.col("n_distinct") * 100 < F.col("n_words") * 80
     rows = materialized(rows.select("id", "part", a.alias("A"), b.alias("B"), "C", "D", "digest"), "audit-rows")
     first = rows.where("id is not null").groupBy("digest").agg(F.min("id").alias("id")).withColumn("first", F.lit(True))

@@ -33,7 +33,7 @@ from parasol.llm.word_arrays import batch_words, byte_class, slices
 from parasol.session import scratch_path
 
 BUCKETS = 1024  # of the dictionary; a bucket is numbered by one sort
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 READ_BYTES = 4 << 20  # of text whose words are found at once
 SHARDS_A_TASK = 1 << 24
 WHITE = " \t\n\x0b\x0c\r"
@@ -95,44 +95,44 @@ def numbered_words(shards: DataFrame, buckets: int) -> DataFrame:
                         ((rank - 1) * buckets + F.col("bucket")).alias("number"))
 
 
-def document_term_matrix(docs: DataFrame, text_col: str = "text", keep: list[Column] | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """CSR shards of all documents over global columns. ``keep`` are the columns the rows carry, all but the text unless given."""
+def over_shards(docs: DataFrame, text_col: str, keep: list[Column] | None, buckets: int, fn, schema) -> DataFrame:
+    """``fn`` of every shard, a table of one row, in the task that gives it its global columns. ``schema`` follows from that of the rows."""
     keep = [F.col(f"`{c}`") for c in docs.columns if c != text_col] if keep is None else keep
     path = scratch_path(docs.sparkSession, "term-shards")
     local = local_shards(docs, text_col, keep, buckets)
     local.write.option("compression", "zstd").parquet(path)
     shards = docs.sparkSession.read.schema(local.schema).parquet(path)
-    kind = shards.schema["rows"].dataType.simpleString()
 
     def renumbered(shard: pa.Table, words: pa.Table) -> pa.Table:
         number = np.empty(words.num_rows, np.int64)
         number[words["place"].to_numpy()] = words["number"].to_numpy()
         indices = np.frombuffer(shard["indices"][0].as_py(), "<i4")
         at = shard.schema.get_field_index("indices")
-        return shard.set_column(at, "indices", pa.array([number[indices].astype("<i8").tobytes()]))
+        return fn(shard.set_column(at, "indices", pa.array([number[indices].astype("<i8").tobytes()])))
 
     numbers = numbered_words(shards, buckets).select("shard", "place", "number")
     left = shards.select("shard", "rows", "indptr", "indices", "counts").groupBy("shard")
-    return left.cogroup(numbers.groupBy("shard")).applyInArrow(renumbered, f"shard bigint, rows {kind}, {CSR}")
+    return left.cogroup(numbers.groupBy("shard")).applyInArrow(renumbered, schema(shards.schema["rows"].dataType))
 
 
-def dictionary(docs: DataFrame, text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """(word, number) of every distinct word, as in the matrix."""
-    return numbered_words(local_shards(docs, text_col, [F.lit(1)], buckets), buckets).select("word", "number").distinct()
+def document_term_matrix(docs: DataFrame, text_col: str = "text", keep: list[Column] | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """CSR shards of all documents over global columns. ``keep`` are the columns the rows carry, all but the text unless given."""
+    return over_shards(docs, text_col, keep, buckets, lambda shard: shard, lambda rows: f"shard bigint, rows {rows.simpleString()}, {CSR}")
 
 
-def row_measures(matrix: DataFrame) -> DataFrame:
-    """The kept columns of every document with n_words (its row's sum) and n_distinct (its row's entries)."""
-    fields = matrix.schema["rows"].dataType.elementType.fields
+def row_measures(docs: DataFrame, text_col: str = "text", keep: list[Column] | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """The kept columns of every document with n_words (its row's sum in the matrix) and n_distinct (its row's entries)."""
+    def measured(shard: pa.Table) -> pa.Table:
+        rows = shard["rows"].combine_chunks()
+        indptr, counts = (np.frombuffer(shard[c][0].as_py(), kind) for c, kind in (("indptr", "<i8"), ("counts", "<i4")))
+        sums = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[indptr]
+        names = [f.name for f in rows.type.value_type]
+        return pa.Table.from_arrays([*rows.flatten().flatten(), pa.array(np.diff(sums)), pa.array(np.diff(indptr))], [*names, "n_words", "n_distinct"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                indptr = np.frombuffer(batch["indptr"][i].as_py(), "<i8")
-                counts = np.frombuffer(batch["counts"][i].as_py(), "<i4")
-                sums = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[indptr]
-                yield pa.RecordBatch.from_arrays([*batch["rows"][i].values.flatten(), pa.array(np.diff(sums)), pa.array(np.diff(indptr))], names)
-
-    names = [*(f.name for f in fields), "n_words", "n_distinct"]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return matrix.mapInArrow(run, f"{kinds}, n_words bigint, n_distinct bigint")
+    return over_shards(docs, text_col, keep, buckets, measured, lambda rows: ", ".join(
+        f"`{f.name}` {f.dataType.simpleString()}" for f in rows.elementType.fields) + ", n_words bigint, n_distinct bigint")
+
+
+def dictionary(docs: DataFrame, text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
+    """(word, number) of every distinct word, as in the matrix."""
+    return numbered_words(local_shards(docs, text_col, [F.lit(1)], buckets), buckets).select("word", "number").distinct()
