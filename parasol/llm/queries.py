@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parasol.llm import bpe_trie, decontaminate, exact_dedup, filter_audit, html_crf, licenses, mixing, pii, simhash, tokens, toxicity, warc
+from parasol.llm import bpe_trie, conversation_trie, decontaminate, exact_dedup, filter_audit, html_crf, licenses, mixing, pii, simhash, tokens, toxicity, warc
 from parasol.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,3 +181,31 @@ SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(rem
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each of five filters removes in every order, by language."""
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_conversation_trie", """
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS place,
+                  sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+                  strlen(coalesce(text, '')) AS n_bytes FROM conversations WHERE conv_id IS NOT NULL),
+bits AS (SELECT c, count(*) AS n, list_transform(range(8 * length(c::VARCHAR)),
+  lambda i: (ord(substr(c::VARCHAR, (i // 8 + 1)::INT, 1)) >> (i % 8)::INT) & 1) AS bits FROM t GROUP BY c),
+m AS (SELECT c, n, c - c % 5 AS base, xor(4294967295, list_reduce(list_concat([4294967295], bits),
+  lambda x, b: xor(x >> 1, 3988292384 * (xor(x, b) & 1)))) % 9 AS h FROM bits),
+r AS (SELECT m.c, t.place AS depth, digest, n_bytes FROM m JOIN t ON t.c = m.base AND t.place <= m.h
+  UNION ALL SELECT m.c, t.place - m.h + least(m.h, coalesce(b.n, 0)), digest, n_bytes
+  FROM m JOIN t ON t.c = m.c AND t.place > m.h LEFT JOIN m b ON b.c = m.base),
+k AS (SELECT c, depth, n_bytes, string_agg(digest, '') OVER (PARTITION BY c ORDER BY depth) AS key,
+  depth = max(depth) OVER (PARTITION BY c) AS last FROM r
+  UNION ALL SELECT c, 0, 0, '', c NOT IN (SELECT c FROM r) FROM m),
+d AS (SELECT key, min(c) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs, (count(*) - 1) * any_value(n_bytes) AS saved,
+  sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE last), '')) AS ends_sha256 FROM k GROUP BY key),
+p AS (SELECT d.*, u.conv_id AS parent_conv_id, u.key AS parent FROM d LEFT JOIN d u ON u.depth = d.depth - 1 AND u.key = left(d.key, 64 * (d.depth - 1)::INT)),
+n AS (SELECT parent AS key, count(*) AS n_children FROM p WHERE parent IS NOT NULL GROUP BY 1),
+s AS (SELECT up.key, sum(d.saved) AS saved_tokens, count(*) FILTER (WHERE n.key IS NULL) AS n_leaves
+  FROM d LEFT JOIN n USING (key) JOIN k up ON up.c = d.conv_id AND up.depth <= d.depth GROUP BY 1)
+SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+ saved_tokens::BIGINT AS saved_tokens, ends_sha256 FROM p LEFT JOIN n USING (key) JOIN s USING (key)
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return conversation_trie.prefix_trie(*conversation_trie.rebuilt(table(spark, sf_dir, "conversations")))
