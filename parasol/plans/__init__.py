@@ -17,6 +17,7 @@ for _module in (
     "stream_queries",
     "model_queries",
     "extension_queries",
+    "keyed_queries",
 ):
     importlib.import_module(f"parasol.plans.{_module}")
 
