@@ -24,11 +24,13 @@ def earliest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFr
 
 
 def upsert(base: DataFrame, changes: DataFrame, keys: list[str], order: list[str] | None = None,
-           matched: list[str] | None = None) -> DataFrame:
+           matched: list[str] | None = None, filled: list[str] = (), newer: str | None = None) -> DataFrame:
     """``base`` with the latest change per key applied; unknown keys are added.
 
     A change row replaces the columns it carries, or of a known key only those
-    in ``matched`` if given. Columns it lacks keep their base value.
+    in ``matched`` if given. Columns in ``filled`` it replaces unless its own value is
+    null. With ``newer`` a change older by that column than the known row only fills in
+    what is null there. Columns it lacks keep their base value.
     """
     if order:
         changes = latest_per_key(changes, keys, order)
@@ -37,14 +39,15 @@ def upsert(base: DataFrame, changes: DataFrame, keys: list[str], order: list[str
     merged = base.withColumn("_known", F.lit(True)).join(new, keys, "full_outer")
     hit = F.col("_new").isNotNull()
     added = F.col("_known").isNull()
-    return merged.select(
-        *[
-            c if c in keys
-            else F.when(hit if matched is None or c in matched else added, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c)
-            if c in set_cols else c
-            for c in base.columns
-        ]
-    )
+    fresh = F.lit(True) if newer is None else added | F.coalesce(F.col(f"_new.{newer}") >= F.col(newer), F.lit(True))
+
+    def merged_value(c: str) -> Column:
+        new, old = F.col(f"_new.{c}"), F.col(c)
+        if c in filled:
+            return F.when(fresh, F.coalesce(new, old)).otherwise(F.coalesce(old, new)).alias(c)
+        return F.when((hit & fresh) if matched is None or c in matched else added, new).otherwise(old).alias(c)
+
+    return merged.select(*[merged_value(c) if c in set_cols else c for c in base.columns])
 
 
 def update_where(base: DataFrame, keyed: DataFrame, keys: list[str], changes: dict[str, Column]) -> DataFrame:

@@ -151,50 +151,74 @@ def _rejected(status: str = "claim_status") -> Column:
     return F.col(status).startswith("rejected")
 
 
+def _totals(sums: DataFrame, keys: list[str], largest: tuple[str, ...] = (), least: tuple[str, ...] = ()) -> DataFrame:
+    """Sums of parts added up by key; ``largest`` and ``least`` take the extreme instead."""
+    kinds = {c: F.max if c in largest else F.min if c in least else F.sum for c in sums.columns if c not in keys}
+    return sums.groupBy(*keys).agg(*[kind(c).alias(c) for c, kind in kinds.items()])
+
+
+def claim_sums(facts: DataFrame, *keys: str) -> DataFrame:
+    return facts.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("claim_amount").alias("amount"),
+        F.sum("fraud_score").alias("fraud"), F.count("fraud_score").alias("scored"), F.max("fraud_score").alias("top_fraud"),
+        count_if(_approved()).alias("approved"), count_if(_rejected()).alias("rejected"),
+    )
+
+
+def _by(sums: DataFrame, key: str) -> DataFrame:
+    """Claim sums of one key, added up if they are kept by period and other keys."""
+    kept = sums.select(key, "n", "amount", "fraud", "scored", "top_fraud", "approved", "rejected")
+    return _totals(kept, [key], largest=("top_fraud",)) if "period" in sums.columns else kept
+
+
+def _mean_fraud() -> Column:
+    return F.try_divide(F.col("fraud").cast("double"), F.col("scored").cast("double"))
+
+
 def claims_by_city(facts: DataFrame, locations: DataFrame) -> DataFrame:
     """Claim totals per location. Facts are reduced by key before they meet the dimension."""
-    per_key = facts.groupBy("location_key").agg(
-        F.count(F.lit(1)).alias("total_claims"),
-        F.sum("claim_amount").alias("total_payout_inr"),
-        F.sum("fraud_score").alias("_fraud"), F.count("fraud_score").alias("_scored"),
-        count_if(_approved()).alias("approved_count"),
-        count_if(_rejected()).alias("rejected_count"),
-    )
-    return per_key.join(locations, "location_key").select(
-        "city", "pincode", "total_claims", "total_payout_inr",
-        (F.col("total_payout_inr") / F.col("total_claims")).alias("avg_claim_inr"),
-        F.try_divide(F.col("_fraud").cast("double"), F.col("_scored").cast("double")).alias("avg_fraud_score"),
-        "approved_count", "rejected_count",
-        percent_of("approved_count", "total_claims").alias("approval_rate_pct"),
+    return city_view(claim_sums(facts, "location_key"), locations)
+
+
+def city_view(sums: DataFrame, locations: DataFrame) -> DataFrame:
+    return _by(sums, "location_key").join(locations, "location_key").select(
+        "city", "pincode", F.col("n").alias("total_claims"), F.col("amount").alias("total_payout_inr"),
+        (F.col("amount") / F.col("n")).alias("avg_claim_inr"), _mean_fraud().alias("avg_fraud_score"),
+        F.col("approved").alias("approved_count"), F.col("rejected").alias("rejected_count"),
+        percent_of("approved", "n").alias("approval_rate_pct"),
     ).orderBy(F.desc("total_payout_inr"), "pincode")
 
 
-def monthly_payouts(facts: DataFrame, dates: DataFrame) -> DataFrame:
-    per_day = facts.groupBy("date_key").agg(
+def day_sums(facts: DataFrame, *more: str) -> DataFrame:
+    return facts.groupBy(*more, "date_key").agg(
         F.count(F.lit(1)).alias("n"), F.sum("amount").alias("s"),
         F.min("amount").alias("lo"), F.max("amount").alias("hi"),
     )
-    return (
-        per_day.join(dates, "date_key").groupBy("year", "month", "month_name")
-        .agg(
-            F.sum("n").alias("payout_count"), F.sum("s").alias("total_payout_inr"),
-            F.min("lo").alias("min_payout_inr"), F.max("hi").alias("max_payout_inr"),
-        )
-        .withColumn("avg_payout_inr", F.col("total_payout_inr") / F.col("payout_count"))
-        .orderBy("year", "month")
-    )
+
+
+def monthly_payouts(facts: DataFrame) -> DataFrame:
+    """Payouts by month. A day's key holds its year and month, so no date dimension is joined."""
+    return month_view(day_sums(facts))
+
+
+def month_view(sums: DataFrame) -> DataFrame:
+    day = F.to_date(F.col("date_key").cast("string"), "yyyyMMdd")
+    days = sums.select(F.year(day).alias("year"), F.month(day).alias("month"), F.date_format(day, "MMM").alias("month_name"), "n", "s", "lo", "hi")
+    return _totals(days, ["year", "month", "month_name"], largest=("hi",), least=("lo",)).select(
+        "year", "month", "month_name", F.col("n").alias("payout_count"), F.col("s").alias("total_payout_inr"),
+        F.col("lo").alias("min_payout_inr"), F.col("hi").alias("max_payout_inr"),
+        (F.col("s") / F.col("n")).alias("avg_payout_inr")).orderBy("year", "month")
 
 
 def fraud_by_disruption(facts: DataFrame, disruptions: DataFrame) -> DataFrame:
-    per_key = facts.where("disruption_key is not null").groupBy("disruption_key").agg(
-        F.count(F.lit(1)).alias("total_claims"),
-        F.avg("fraud_score").alias("avg_fraud_score"),
-        F.max("fraud_score").alias("max_fraud_score"),
-        count_if(_rejected()).alias("fraud_rejections"),
-    )
-    return per_key.join(disruptions, "disruption_key").select(
-        "trigger_type", "severity_category", "total_claims", "avg_fraud_score", "max_fraud_score",
-        "fraud_rejections", percent_of("fraud_rejections", "total_claims").alias("fraud_rate_pct"),
+    return disruption_view(claim_sums(facts.where("disruption_key is not null"), "disruption_key"), disruptions)
+
+
+def disruption_view(sums: DataFrame, disruptions: DataFrame) -> DataFrame:
+    return _by(sums, "disruption_key").join(disruptions, "disruption_key").select(
+        "trigger_type", "severity_category", F.col("n").alias("total_claims"), _mean_fraud().alias("avg_fraud_score"),
+        F.col("top_fraud").alias("max_fraud_score"), F.col("rejected").alias("fraud_rejections"),
+        percent_of("rejected", "n").alias("fraud_rate_pct"),
     ).orderBy(F.desc("fraud_rate_pct"), "trigger_type")
 
 
@@ -204,13 +228,12 @@ def worker_risk_segments(workers: DataFrame, facts: DataFrame) -> DataFrame:
     Claims are reduced to one row per worker first, which makes the distinct
     worker count a plain count and keeps the outer join small.
     """
-    per_worker = facts.groupBy("worker_key").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("claim_amount").alias("amount"),
-        F.sum("fraud_score").alias("fraud"), F.count("fraud_score").alias("scored"),
-        count_if(_approved()).alias("approved"), count_if(_rejected()).alias("rejected"),
-    )
+    return segment_view(workers, claim_sums(facts, "worker_key"))
+
+
+def segment_view(workers: DataFrame, sums: DataFrame) -> DataFrame:
     return (
-        workers.join(per_worker, "worker_key", "left").groupBy("risk_segment", "plan")
+        workers.join(_by(sums, "worker_key"), "worker_key", "left").groupBy("risk_segment", "plan")
         .agg(
             F.count(F.lit(1)).alias("worker_count"),
             F.try_divide(F.sum("amount"), F.sum("n").cast("double")).alias("avg_claim_amount"),

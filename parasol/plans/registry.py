@@ -45,7 +45,7 @@ def _needed(text: str) -> list[str]:
 
 def with_views(body: str) -> str:
     body = body.strip()
-    if body.startswith("WITH RECURSIVE zone_"):  # built from another check, views already there
+    if body in ORACLES.values() or body.startswith("WITH RECURSIVE zone_"):  # another check, or built from one, views already there
         return body
     ctes = [duckdb_cte(v) for v in _needed(body)]
     if not ctes:

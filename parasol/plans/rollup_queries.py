@@ -36,7 +36,7 @@ def v2(t):
     payouts = wh.payouts_from_requests(t.payout_requests)
     # The rollup needs no worker key, so the claim facts are not joined.
     facts = payouts.select(wh.date_key("requested_at").alias("date_key"), "amount")
-    return wh.monthly_payouts(facts, wh.dim_date(payouts, "requested_at"))
+    return wh.monthly_payouts(facts)
 
 
 @query("v3_fraud_by_disruption", f"""

@@ -1,16 +1,17 @@
 """Incremental load, checkpoint, run summary, quality."""
 
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from parasol.operators import quality, warehouse as wh
 from parasol.plans.pricing_queries import AMOUNT_SQL
-from parasol.plans.registry import query, sql_date_key
+from parasol.plans.registry import ORACLES, query, sql_date_key
 from parasol.plans.signal_queries import fired_rows, fired_sql
 from parasol.plans.stream_queries import once
 from parasol.operators import triggers
-from parasol.plans.warehouse import Warehouse, run_full_etl
+from parasol.plans.warehouse import Warehouse, load_arrivals, run_full_etl
 from parasol.session import scratch_path
 
 CUT = "1998-06-30"
@@ -18,8 +19,8 @@ FIRST, SECOND = datetime(1995, 1, 15), datetime(2001, 8, 5)
 
 
 def _house(t, name):
-    # The test tables are small: one partition per year, few buckets.
-    return Warehouse(t.spark, scratch_path(t.spark, name), period_digits=4, payout_buckets=4)
+    # The test tables are small: one partition per year.
+    return Warehouse(t.spark, scratch_path(t.spark, name), period_digits=4)
 
 
 def _two_runs(t, user):
@@ -92,6 +93,65 @@ def e7_late_payouts(t):
     return house.payouts.read().select("claim_sk", "date_key", "amount")
 
 
+@query("e6_late_scores", f"""
+SELECT claim_id, coalesce(nullif(trust_score, 0), 50) AS trust_score_at_claim, amount AS claim_amount,
+ CASE WHEN claim_sk % 3 = 0 THEN fraud_score ELSE (claim_sk % 50)::INT END AS fraud_score,
+ CASE WHEN claim_sk % 3 <> 0 THEN (claim_sk % 7)::DOUBLE END AS layer1_score, CASE WHEN claim_sk % 3 <> 0 THEN 'VERIFIED' END AS vision_verdict,
+ status AS claim_status FROM claims LEFT JOIN workers USING (worker_id)
+""")
+def e6_late_scores(t):
+    """Scores come after the claim: two loads later for two claims in three; a still later change without scores takes none away."""
+    payouts = wh.payouts_from_requests(t.payout_requests)
+    scored = F.col("claim_sk") % 3 != 0
+    later = t.claims.withColumns({
+        "fraud_score": F.when(scored, (F.col("claim_sk") % 50).cast("int")), "layer1_score": F.when(scored, (F.col("claim_sk") % 7).cast("double")),
+        "vision_verdict": F.when(scored, "VERIFIED"), "amount": F.col("amount") + 1, "updated_at": F.expr("updated_at + interval 10 years")})
+    silent = t.claims.withColumns({"fraud_score": F.lit(None).cast("int"), "updated_at": F.expr("updated_at + interval 20 years")})
+    house = _house_with(t, "late-scores", [(rows, t.workers, payouts) for rows in (t.claims, later, silent)])
+    return house.claims.read().select("claim_id", "trust_score_at_claim", "claim_amount", "fraud_score", "layer1_score", "vision_verdict", "claim_status")
+
+
+def _arrivals(t, name):
+    """Claims in three versions' order of landing, requests of every seventh claim 400 days late; one load per slice."""
+    house, root = _house(t, name), scratch_path(t.spark, f"{name}-landed")
+    lag = F.expr("CASE WHEN claim_sk % 7 = 0 THEN interval 400 days ELSE interval 0 days END")
+    sides = {"claims": t.claims.withColumn("landed_at", F.col("updated_at")),
+             "requests": t.payout_requests.withColumn("landed_at", F.col("requested_at") + lag)}
+    streams = {}
+    for side, rows in sides.items():
+        rows.limit(0).write.parquet(f"{root}/{side}")
+        streams[side] = t.spark.readStream.schema(rows.schema).parquet(f"{root}/{side}").drop("landed_at")
+    for low, high in (("1900-01-01", "1997-03-01"), ("1997-03-01", "1999-06-01"), ("1999-06-01", "2100-01-01")):
+        between = (F.col("landed_at") > F.lit(low).cast("timestamp_ntz")) & (F.col("landed_at") <= F.lit(high).cast("timestamp_ntz"))
+        for side, rows in sides.items():
+            rows.where(between).write.mode("append").parquet(f"{root}/{side}")
+        load_arrivals(house, streams["claims"], t.workers, streams["requests"], f"{root}/checkpoint")
+    return house
+
+
+@query("e7_late_arrival", ORACLES["e7_fact_payouts_incremental"])
+def e7_late_arrival(t):
+    """Payouts requested before, landed after ones that are loaded already."""
+    return _arrivals(t, "arrivals").payouts.read().select("claim_sk", "claim_id", "date_key", "amount", "gateway_mode", "status")
+
+
+@query("v_rollups_by_arrival", f"""
+SELECT 'city' AS view, pincode AS key, total_claims AS n, total_payout_inr AS amount, approval_rate_pct AS rate FROM ({ORACLES["v1_claims_by_city"]}) a
+UNION ALL SELECT 'month', (year * 100 + month)::VARCHAR, payout_count, total_payout_inr, min_payout_inr + max_payout_inr FROM ({ORACLES["v2_monthly_payouts"]}) b
+UNION ALL SELECT 'disruption', trigger_type, total_claims, max_fraud_score + avg_fraud_score, fraud_rate_pct FROM ({ORACLES["v3_fraud_by_disruption"]}) c
+UNION ALL SELECT 'segment', risk_segment || plan, worker_count, avg_claim_amount + avg_fraud_score, approved_claims - rejected_claims FROM ({ORACLES["v4_worker_risk_segments"]}) d
+""")
+def v_by_arrival(t):
+    """The four rollups after three loads, from the sums kept by period."""
+    views = _arrivals(t, "rollups").views()
+    columns = {"city": ("pincode", "total_claims", "total_payout_inr", "approval_rate_pct"),
+               "month": ("cast(year * 100 + month as string)", "payout_count", "total_payout_inr", "min_payout_inr + max_payout_inr"),
+               "disruption": ("trigger_type", "total_claims", "max_fraud_score + avg_fraud_score", "fraud_rate_pct"),
+               "segment": ("concat(risk_segment, plan)", "worker_count", "avg_claim_amount + avg_fraud_score", "cast(approved_claims - rejected_claims as double)")}
+    parts = [views[v].selectExpr(f"'{v}' AS view", *[f"{e} AS {n}" for e, n in zip(es, ("key", "n", "amount", "rate"))]) for v, es in columns.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("e8_checkpoint", """
 SELECT 'full_etl' AS job_name, strftime(max(updated_at), '%Y-%m-%d %H:%M:%S') AS last_watermark, 'success' AS status FROM claims
 """)

@@ -118,24 +118,37 @@ class MergedTable:
         paths = [f"{self.path}/data/merge={n}/{self.partition}={value}" for value, n in sorted(folders.items())]
         return self.spark.read.option("basePath", f"{self.path}/data").parquet(*paths).drop("merge")
 
-    def read(self) -> DataFrame | None:
-        return self._read(self._folders())
+    def read(self, partitions: list[str] | None = None) -> DataFrame | None:
+        """The table, or only the given values of the partition column."""
+        return self._read({v: m for v, m in self._folders().items() if partitions is None or v in partitions})
+
+    def merge(self, changes: DataFrame, matched: list[str] | None = None, filled: list[str] = (), newer: str | None = None) -> list[str]:
+        """``changes`` are unique by key and carry every column; returns the partitions they touch.
 
-    def merge(self, changes: DataFrame, matched: list[str] | None = None) -> None:
-        """``changes`` are unique by key and carry every column. Known keys take the columns in ``matched`` (all if None)."""
+        Known keys take the columns in ``matched`` (all if None), ``filled`` and ``newer`` as ``upsert`` does.
+        """
         n, folders = self.manifest.version() + 1, self._folders()
         staged = f"{self.path}/staged/merge={n}"  # computed once, also for what it touches
         changes.write.mode("overwrite").parquet(staged)
         changes = self.spark.read.schema(changes.schema).parquet(staged)
         touched = [str(r[0]) for r in changes.select(self.partition).distinct().collect()]  # partition names
         if not touched:
-            return
+            return []
         merged, old = changes, self._read({v: m for v, m in folders.items() if v in touched})
         if old is not None:
             old = old.select(*[F.col(f.name).cast(f.dataType) for f in changes.schema.fields])
-            merged = upsert(old, changes, [*self.keys, self.partition], matched=matched)
+            merged = upsert(old, changes, [*self.keys, self.partition], matched=matched, filled=filled, newer=newer)
+        self._switch(merged, n, folders, touched)
+        return touched
+
+    def replace(self, rows: DataFrame, partitions: list[str]) -> None:
+        """``rows`` are all there is of the given partitions from now on."""
+        if partitions:
+            self._switch(rows, self.manifest.version() + 1, self._folders(), partitions)
+
+    def _switch(self, rows: DataFrame, n: int, folders: dict[str, int], touched: list[str]) -> None:
         # Rebalancing keeps files large: small partitions share a task, a hot one is split.
-        (merged.hint("rebalance", self.partition).write.mode("overwrite")
+        (rows.hint("rebalance", self.partition).write.mode("overwrite")
          .partitionBy(self.partition).parquet(f"{self.path}/data/merge={n}"))
-        rows = sorted({**folders, **dict.fromkeys(touched, n)}.items())
-        self.manifest.write(self.spark.createDataFrame(rows, "value string, merge int"))
+        named = sorted({**folders, **dict.fromkeys(touched, n)}.items())
+        self.manifest.write(self.spark.createDataFrame(named, "value string, merge int").coalesce(1))

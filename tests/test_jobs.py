@@ -64,7 +64,7 @@ def test_etl_in_any_number_of_runs(spark, tables):
     payouts = wh.payouts_from_requests(tables.payout_requests)
 
     def loaded(cuts):
-        house = Warehouse(spark, scratch_path(spark, "etl"), period_digits=4, payout_buckets=2)
+        house = Warehouse(spark, scratch_path(spark, "etl"), period_digits=4)
         for cut in cuts:
             stop = F.lit(cut).cast("timestamp_ntz")
             run_full_etl(house, tables.claims.where(F.col("updated_at") <= stop), tables.workers,
@@ -155,3 +155,40 @@ def test_forest_finds_the_odd_rows(spark, features):
     assert 0.03 < flagged < 0.15
     low = scored.where("claim_sk >= 0").agg(F.percentile("raw", F.lit(0.5))).first()[0]
     assert all(r.raw < low for r in scored.where("claim_sk < 0").collect())
+
+
+def test_a_load_touches_its_own_periods(spark, tables, tmp_path):
+    """A late score rewrites the claim's period and its sums, nothing else; a merge done again changes nothing."""
+    house = Warehouse(spark, str(tmp_path / "house"), period_digits=4)
+    payouts = wh.payouts_from_requests(tables.payout_requests)
+    run_full_etl(house, tables.claims, tables.workers, payouts, dt.datetime(1995, 1, 15))
+
+    def files(table):
+        return {f: f.stat().st_mtime_ns for f in (tmp_path / "house" / table / "data").rglob("*.parquet")}
+
+    before = {t: (files(t), getattr(house, a)._folders()) for t, a in (("fact_claims", "claims"), ("claim_sums", "claim_sums"), ("fact_payouts", "payouts"))}
+    late = tables.claims.where("year(created_at) = 1996 and claim_sk % 2 = 0").withColumns(
+        {"fraud_score": F.lit(77), "updated_at": F.expr("updated_at + interval 30 years")})
+    for _ in range(2):
+        house.load_claims(late, tables.workers)
+    for name, table in (("fact_claims", house.claims), ("claim_sums", house.claim_sums), ("fact_payouts", house.payouts)):
+        old, now = before[name][1], table._folders()
+        assert {p for p in now if now[p] != old[p]} == ({"1996"} if name != "fact_payouts" else set())
+        assert all(files(name)[f] == at for f, at in before[name][0].items())  # old folders are left as they are
+    assert house.claims.read().where("fraud_score = 77").count() >= late.count() > 0
+    older = late.withColumns({"fraud_score": F.lit(5), "updated_at": F.expr("updated_at - interval 40 years"), "status": F.lit("stale")})
+    house.load_claims(older, tables.workers)  # lands after, but is older than what is known
+    assert house.claims.read().where("fraud_score = 5 and claim_status = 'stale'").count() == 0
+    city = {r.pincode: r.total_claims for r in house.views()["city"].collect()}
+    assert sum(city.values()) == tables.claims_with_zone.where("pincode is not null").count()
+
+
+def test_workers_absent_from_a_load_stay(spark, tables, tmp_path):
+    house = Warehouse(spark, str(tmp_path / "house"), period_digits=4)
+    stamped = tables.claims.select(F.col("created_at").alias("at"))
+    house.load_dimensions(tables.claims, tables.workers, stamped)
+    changed = tables.workers.where("worker_id % 3 = 0").withColumn("trust_score", F.lit(99.0))
+    house.load_dimensions(tables.claims, changed, stamped)
+    held = house.dims["worker"].read()
+    assert held.count() == tables.workers.count()
+    assert held.where("worker_id % 3 = 0 and risk_segment <> 'LOW'").count() == 0 and held.where("risk_segment <> 'LOW'").count() > 0
