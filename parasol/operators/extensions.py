@@ -112,7 +112,7 @@ def exclusion(disrupted_at, paused) -> Column:
     return (F.when(as_col(paused), "policy paused").when(as_col(disrupted_at).isNull(), "filed late or no event"))
 
 
-def device_rings(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
+def device_rings(pairs: DataFrame) -> DataFrame:
     """(worker_id, ring, ring_size): workers connected through shared devices.
 
     Labels spread as minima over workers and devices, and each round also
@@ -121,7 +121,7 @@ def device_rings(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
     """
     edges = checkpointed(pairs.select("device_id", "worker_id").distinct())
     labels = checkpointed(edges.groupBy("worker_id").agg(F.min("worker_id").alias("ring")))
-    for _ in range(max_rounds):
+    while True:  # labels only fall, so it ends
         by_device = edges.join(labels, "worker_id").groupBy("device_id").agg(F.min("ring").alias("ring"))
         spread = edges.join(by_device, "device_id").groupBy("worker_id").agg(F.min("ring").alias("near"))
         jump = labels.select(F.col("worker_id").alias("near"), F.col("ring").alias("far"))
@@ -133,4 +133,3 @@ def device_rings(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
         if settled:
             sizes = labels.groupBy("ring").agg(F.count(F.lit(1)).alias("ring_size"))
             return labels.join(sizes, "ring")
-    raise RuntimeError(f"rings did not settle in {max_rounds} rounds")

@@ -50,10 +50,10 @@ def d3(t):
 
 @query("d4_claim_clustering", """
 SELECT event_id, count(*) OVER (PARTITION BY pincode ORDER BY epoch_us(ts) RANGE BETWEEN 300000000 PRECEDING AND CURRENT ROW) AS in_window,
- count(*) OVER (PARTITION BY pincode ORDER BY epoch_us(ts) RANGE BETWEEN 300000000 PRECEDING AND CURRENT ROW) >= 3 AS clustered FROM zone_claims
+ count(*) OVER (PARTITION BY pincode ORDER BY epoch_us(ts) RANGE BETWEEN 300000000 PRECEDING AND CURRENT ROW) >= 20 AS clustered FROM zone_claims
 """)
 def d4(t):
-    return ext.clustered(t.zone_claims, "pincode", "ts", "event_id", at_least=3)
+    return ext.clustered(t.zone_claims, "pincode", "ts", "event_id")
 
 
 @query("d5_registration_spikes", """
@@ -76,11 +76,11 @@ ln AS (SELECT *, CASE WHEN coalesce(nullif(trust_score, 0), 50) >= 75 AND accoun
 @query("d6_zone_consensus", f"""
 WITH {LAYERS_SQL}, {LANE_SQL}, pw AS (SELECT pincode, CAST(created_at AS DATE) AS day, worker_id, max(CASE WHEN flags = '' THEN 1 ELSE 0 END) AS own FROM ln GROUP BY 1, 2, 3),
  pz AS (SELECT pincode, day, sum(own) AS total FROM pw GROUP BY 1, 2)
-SELECT claim_sk, CAST(total - own AS BIGINT) AS clean_neighbours, CASE WHEN lane = 'red' AND total - own >= 1 THEN 'yellow' ELSE lane END AS lane
+SELECT claim_sk, CAST(total - own AS BIGINT) AS clean_neighbours, CASE WHEN lane = 'red' AND total - own >= 40 THEN 'yellow' ELSE lane END AS lane
 FROM ln JOIN pw ON pw.pincode = ln.pincode AND pw.worker_id = ln.worker_id AND pw.day = CAST(ln.created_at AS DATE) JOIN pz ON pz.pincode = ln.pincode AND pz.day = pw.day
 """)
 def d6(t):
-    scored = ext.zone_consensus(fraud.score_claims(assembled(t)), neighbours=1)
+    scored = ext.zone_consensus(fraud.score_claims(assembled(t)))
     return scored.select("claim_sk", "clean_neighbours", ext.lane("consensus").alias("lane"))
 
 
