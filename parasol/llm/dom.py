@@ -10,14 +10,33 @@ from parasol.llm.common import ship_by_value
 
 ship_by_value(__name__)
 
-Block = namedtuple("Block", "text tag ancestors marks linked title gold")
+Block = namedtuple("Block", "text tag around linked title gold")  # around: the innermost Element, or None
+
+
+class Element:
+    """An open element: the features it adds to its ancestors', a number for its path of names, its gold label."""
+
+    __slots__ = ("parent", "name", "fresh", "path", "gold")
+
+    def __init__(self, parent, name, fresh, path, gold):
+        self.parent, self.name, self.fresh, self.path, self.gold = parent, name, fresh, path, gold
+
+
+def around(block: Block):
+    """The features of a block's elements, each once."""
+    element = block.around
+    while element is not None:
+        yield from element.fresh
+        element = element.parent
+
 
 # Element names of HTML.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre search section select summary "
     "table tbody td tfoot th thead tr ul".split())
-UNSEEN_TAGS = frozenset("head iframe math noembed noframes noscript object script style svg template textarea title".split())
+RAW_TAGS = frozenset("script style textarea title".split())  # all up to the first end tag is theirs, or the rest of the page
+UNSEEN_TAGS = frozenset("head iframe noembed noframes noscript svg template".split()) | RAW_TAGS
 EMPTY_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_PARAGRAPH = BLOCK_TAGS - {"body", "button", "html", "option", "select"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -46,75 +65,116 @@ def _marks(rest: str) -> tuple[tuple[str, ...], str | None]:
     return tuple(found), gold
 
 
+def _ends(page: str, name: str) -> dict[int, int]:
+    """Where the end tag of each element of a name ends, by where its start tag begins; elements left open are missing."""
+    found, begun = {}, []
+    for tag in re.finditer(rf"<(/?){name}(?=[\s/>])[^>]*>?", page, re.I):
+        if not tag[1]:
+            if not tag[0].endswith("/>"):
+                begun.append(tag.start())
+        elif begun:
+            found[begun.pop()] = tag.end()
+    return found
+
+
+class _Open:
+    """The open elements of a page. Each step costs what it adds or takes away, however deep they lie."""
+
+    def __init__(self):
+        self.stack: list[Element] = []
+        self.places: dict[str, list[int]] = {}  # of the open elements, by name
+        self.held: dict[str, int] = {}  # how many open elements carry a feature
+        self.paths: dict[tuple[int, str], int] = {}
+        self.carried: list[tuple[str, ...]] = []
+
+    def top(self) -> Element | None:
+        return self.stack[-1] if self.stack else None
+
+    def push(self, name: str, marks: tuple[str, ...], gold: str | None):
+        parent = self.top()
+        carried = tuple({"in " + name: None, **{"of " + m: None for m in marks}})
+        path = self.paths.setdefault((parent.path if parent else -1, name), len(self.paths))
+        fresh = tuple(f for f in carried if not self.held.get(f))
+        for f in carried:
+            self.held[f] = self.held.get(f, 0) + 1
+        self.places.setdefault(name, []).append(len(self.stack))
+        self.carried.append(carried)
+        self.stack.append(Element(parent, name, fresh, path, gold if gold is not None or parent is None else parent.gold))
+
+    def pop(self, names, until=frozenset()):
+        """Closes the innermost element of ``names`` and all within it, unless one of ``until`` lies within it."""
+        place, wall = (max((self.places[n][-1] for n in found if self.places.get(n)), default=-1) for found in (names, until))
+        if place < 0 or place < wall:
+            return
+        for element, carried in zip(self.stack[place:], self.carried[place:]):
+            self.places[element.name].pop()
+            for f in carried:
+                self.held[f] -= 1
+        del self.stack[place:], self.carried[place:]
+
+
 def leaf_blocks(html: str | None) -> list[Block]:
     """The blocks that hold text themselves. Runs of white space are one space; character references are decoded.
 
     A block ends where a block element begins or ends. Elements left open end with the page; an end tag without
-    its element is ignored.
+    its element is ignored. Of unseen elements only those with an end tag are left out, but for raw text.
     """
     page = html or ""
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], str | None]] = []
+    opened = _Open()
+    ends: dict[str, dict[int, int]] = {}
     text: list[str] = []
-    linked, in_link, title, at = 0, 0, "", 0
+    linked, in_link, title, headed, at = 0, 0, "", False, 0
 
     def flush():
         nonlocal linked
         if text:
             words = " ".join(unescape("".join(text)).split())
             if words:
-                golds = [g for _, _, g in stack if g is not None]
-                blocks.append(Block(words, stack[-1][0] if stack else "", tuple(t for t, _, _ in stack),
-                                    tuple(m for _, ms, _ in stack for m in ms), min(1.0, linked / len(words)), title,
-                                    golds[-1] if golds else None))
+                top = opened.top()
+                blocks.append(Block(words, top.name if top else "", top, min(1.0, linked / len(words)), title, top.gold if top else None))
             text.clear()
         linked = 0
 
-    def pop(names, until=frozenset()):
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                del stack[i:]
-                return
-            if stack[i][0] in until:
-                return
-
-    for token in TOKEN.finditer(page):
-        if token.start() < at:
-            continue
+    token = TOKEN.search(page)
+    while token is not None:
         if token.start() > at:
             piece = page[at:token.start()]
             text.append(piece)
             if in_link:
                 linked += len(piece)
         at = token.end()
-        name = token["name"]
-        if name is None:
-            continue
-        name = name.lower()
+        name = (token["name"] or "").lower()
         if name in UNSEEN_TAGS:
             if token["end"] is None and not token["rest"].endswith("/>"):
-                close = re.compile(f"</{name}[^>]*>?", re.I).search(page, at)
-                if name == "head":
-                    found = re.compile(r"<title[^>]*>(.*?)</title", re.I | re.S).search(page, at, close.start() if close else len(page))
+                if name in RAW_TAGS:
+                    close = re.compile(f"</{name}[^>]*>?", re.I).search(page, at)
+                    end = close.end() if close else len(page)
+                else:
+                    if name not in ends:
+                        ends[name] = _ends(page, name)
+                    end = ends[name].get(token.start(), at)
+                if name == "head" and not headed:
+                    headed = True
+                    found = re.compile(r"<title[^>]*>(.*?)</title", re.I | re.S).search(page, at, end if end > at else len(page))
                     title = " ".join(unescape(found[1]).split()) if found else ""
-                    if not close:
-                        continue
-                at = close.end() if close else len(page)
+                at = max(at, end)
         elif name in BLOCK_TAGS:
             flush()
             if token["end"]:
-                pop({name})
+                opened.pop({name})
             else:
                 if name in CLOSES_PARAGRAPH:
-                    pop({"p"}, ENDS_SEARCH | {"td", "th", "li"})
+                    opened.pop({"p"}, ENDS_SEARCH | {"td", "th", "li"})
                 if name in CLOSED_BY:
-                    pop(CLOSED_BY[name], ENDS_SEARCH)
+                    opened.pop(CLOSED_BY[name], ENDS_SEARCH)
                 if name not in EMPTY_TAGS:
-                    stack.append((name, *_marks(token["rest"])))
+                    opened.push(name, *_marks(token["rest"]))
         elif name == "br":
             text.append(" ")
         elif name == "a":
             in_link = 0 if token["end"] else 1
+        token = TOKEN.search(page, at)
     if at < len(page):
         text.append(page[at:])
     flush()

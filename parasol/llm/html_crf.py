@@ -16,9 +16,11 @@ words that fill them come from ``SAMPLE_PAGES`` pages of the table, the ones wit
 the smallest hashed ids, up to ``SAMPLE_CHARS`` characters of each. In training,
 features are left out at random, so that no single one carries the decision.
 
-A null or empty page, or one without text, has an empty text. Repeated rows are
-extracted each for itself. Pages of any length are read whole. Further columns
-are ignored.
+A null or empty page, or one without text, has an empty text; an empty table gives
+an empty one. Null ids and urls stay null. Repeated rows are extracted each for
+itself. Pages of any length and depth are read whole, in time by their length.
+Where both states are equally likely, a block is not main text. Further columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from parasol.llm.common import ship_by_value
-from parasol.llm.dom import Block, leaf_blocks
+from parasol.llm.dom import Block, Element, around, leaf_blocks
 
 ship_by_value(__name__)
 
@@ -46,7 +48,12 @@ OUTPUT_BYTES = 8 << 20
 
 
 def features(blocks: list[Block], i: int) -> list[str]:
-    """Names of the features of block ``i``."""
+    """Names of the features of block ``i``: its own and its elements'."""
+    return own_features(blocks, i) + list(around(blocks[i]))
+
+
+def own_features(blocks: list[Block], i: int) -> list[str]:
+    """Names of the features of block ``i`` but those of its elements."""
     b = blocks[i]
     words = b.text.split(" ")
     n = len(words)
@@ -54,12 +61,11 @@ def features(blocks: list[Block], i: int) -> list[str]:
     found = ["any", "tag " + b.tag, f"words {min(n.bit_length(), 8)}", f"linked {int(b.linked * 4)}",
              f"marks {min(int(8 * punctuated / n), 4)}", f"ends {b.text[-1] in '.!?…'}",
              f"place {4 * i // len(blocks)}", f"letters {sum(map(str.isalpha, b.text)) * 4 // len(b.text)}"]
-    found += {"in " + t for t in b.ancestors} | {"of " + m for m in b.marks}
     if b.title and (b.text.startswith(b.title[:40]) or b.title.startswith(b.text)):
         found.append("title")
     if b.text[0] in "©℗®":
         found.append("sign")
-    if i and blocks[i - 1].ancestors == b.ancestors:
+    if i and (b.around.path if b.around else -1) == (blocks[i - 1].around.path if blocks[i - 1].around else -1):
         found.append("like before")
     return found
 
@@ -216,9 +222,16 @@ def decode(model: dict, blocks: list[Block]) -> list[bool]:
     if not blocks:
         return []
     gain, ((stay, enter), (leave, go_on)), (out, main) = model["gain"].get, model["pairs"], model["begin"]
+    sums: dict[Element | None, float] = {None: 0.0}  # gains of an element's features and its ancestors', once for each element
     back = []
     for i in range(len(blocks)):
-        score = sum(gain(f, 0.0) for f in features(blocks, i))
+        path, element = [], blocks[i].around
+        while element not in sums:
+            path.append(element)
+            element = element.parent
+        for inner in reversed(path):
+            sums[inner] = sums[inner.parent] + sum(gain(f, 0.0) for f in inner.fresh)
+        score = sums[blocks[i].around] + sum(gain(f, 0.0) for f in own_features(blocks, i))
         if i:
             from_out, from_main = (out + enter >= main + go_on), (out + stay >= main + leave)
             back.append((not from_main, not from_out))

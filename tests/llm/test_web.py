@@ -58,6 +58,36 @@ def test_blocks_of_a_page():
     assert [b.linked for b in dom.leaf_blocks(page)][3] == 1.0
 
 
+@pytest.mark.parametrize("name", ["svg", "noscript", "iframe", "template", "object", "math"])
+def test_text_after_an_element_left_open_stays(name):
+    page = f"<article><p>one</p><{name} a='b'><p>two</p><p>three</p></article>"
+    assert [b.text for b in dom.leaf_blocks(page)] == ["one", "two", "three"]
+    later = f"<p>one</p><{name}><p>two</p><{name}>x</{name}><p>three</p>"
+    assert [b.text for b in dom.leaf_blocks(later)] == ["one", "two"] + (["x"] if name in ("object", "math") else []) + ["three"]
+
+
+def test_formulas_and_unseen_elements_in_a_sentence():
+    page = "<p>if <math><mi>x</mi></math> is <svg><svg><text>no</text></svg><text>no</text></svg>odd<noscript>no</noscript><object>, say</object></p>"
+    assert [b.text for b in dom.leaf_blocks(page)] == ["if x is odd, say"]
+    assert [b.text for b in dom.leaf_blocks("<p>a</p><script>var x = '<p>no</p>'")] == ["a"]
+
+
+@pytest.mark.parametrize("opening", ["<div>", "<blockquote>", "<p><button>", "<svg>", "<div class='c{}'>", "<p><select><blockquote>"])
+def test_a_page_nested_deeply_takes_time_by_its_length(opening, model):
+    import time
+    n, begun = 30_000, time.monotonic()
+    blocks = dom.leaf_blocks("".join(opening.format(i) + f"word {i}" for i in range(n)))
+    assert len(html_crf.decode(model, blocks)) == len(blocks) and " ".join(b.text for b in blocks).split()[-1] == str(n - 1)
+    assert time.monotonic() - begun < 10
+
+
+def test_features_of_elements_count_once():
+    page = "<div class='a b'><div class='b c'>one<section class='a'>two</section></div>three</div>"
+    found = {b.text: sorted(dom.around(b)) for b in dom.leaf_blocks(page)}
+    assert found == {"one": ["in div", "of a", "of b", "of c"], "two": ["in div", "in section", "of a", "of b", "of c"],
+                     "three": ["in div", "of a", "of b"]}
+
+
 @pytest.fixture(scope="module")
 def model():
     words = "some words that fill a page of prose and nothing else".split()
@@ -93,6 +123,12 @@ def test_main_text_of_pages(spark, model):
     got = sorted((r.page_id, r.text, r.n_chars) for r in found.collect())
     whole = "Head line\nIt was a dark night.\nThen came the day."
     assert got == [(1, "", 0), (1, whole, len(whole)), (2, "", 0), (3, "", 0)]
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_crf.main_text(empty, model=model).count() == html_crf.main_text(empty).count() == 0
+    long = "<article><h1>Head line</h1>" + "".join(f"<p>It was dark night {i}, and long.</p>" for i in range(20_000)) + "</article>"
+    clash = spark.createDataFrame([(None, None, long)], "page_id long, url string, html string").withColumn("id", F.lit(1)).withColumn("n_chars", F.lit(2))
+    row = html_crf.main_text(clash, model=model).first()
+    assert row.page_id is None and row.text.count("\n") == 20_000 and row.n_chars == len(row.text)
 
 
 def test_articles_of_the_table_come_back_whole(spark):
