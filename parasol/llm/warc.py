@@ -41,6 +41,7 @@ RECORD_ID = "urn:x-page:"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MIN_REVISIT_BYTES = 100
 ARCHIVE_BYTES = 32 << 20  # of payload, before compression
+READ_TASKS = 20_000  # at most so many; beyond, a task streams several archives one after another
 PIECE = 1 << 18
 BATCH_BYTES = 8 << 20
 UNKNOWN_DATE = "1970-01-01T00:00:00Z"
@@ -243,7 +244,9 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return manifest.select("path").repartition("path").mapInArrow(run, READ_SCHEMA)
+    # An explicit number: rows this short would else be merged into one task, however large the archives.
+    tasks = max(1, min(manifest.count(), READ_TASKS))
+    return manifest.select("path").repartition(tasks).mapInArrow(run, READ_SCHEMA)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, with_payload: bool = True, **columns) -> DataFrame:
