@@ -90,6 +90,48 @@ def test_pseudonyms_are_valid_linked_and_reversible(spark):
     assert pii.pseudonymise(nothing(spark), "key").count() == 0
 
 
+FORMS = ["4227025300029028 12/25", "4227025300029028 123", "4227025300029028", "4227 0253 0002 9028 123", "12 4227025300029028 x",
+         "4227-0253-0002-9028", "12/25/2020 25.12.2020 2020/12/25 2020-12-25 25/12/2020", "3.4.2020 03.04.2020 3/4/2020 2020/4/3",
+         "30.2.2020 0/1/2020 13/13/2020", "29.02.2020 11/10/2020", "+44 1234 1234 1234 1234 1234"]
+
+
+def feistel(value, a, b, tweak, key):
+    from hashlib import sha256
+    left, right = divmod(value, b)
+    for i in range(1, pii.ROUNDS + 1):
+        mixed = int(sha256(f"{key}:{tweak}:{i}:{right}".encode()).hexdigest()[:14], 16)
+        left, right = right, (left + mixed) % (a if i % 2 else b)
+    return left * b + right
+
+
+def test_every_way_of_writing_a_value_gives_one_pseudonym(spark):
+    docs = spark.createDataFrame(list(enumerate(FORMS)), "doc_id long, text string")
+    hidden = pii.pseudonymise(docs, "key")
+    got = [r.text for r in hidden.orderBy("doc_id").collect()]
+    head = f"4{feistel(22702530002902, 10 ** 7, 10 ** 7, 'card/14', 'key'):014d}"
+    card = next(head + c for c in "0123456789" if luhn(head + c))
+    fours = [card[i:i + 4] for i in range(0, 16, 4)]
+    assert got[:6] == [card + " 12/25", card + " 123", card, " ".join(fours) + " 123", f"12 {card} x", "-".join(fours)]
+    day = got[6].split()[3].split("-")
+    assert got[6] == "{1}/{2}/{0} {2}.{1}.{0} {0}/{1}/{2} {0}-{1}-{2} {2}/{1}/{0}".format(*day) and day != ["2020", "12", "25"]
+    value = (220 * 3 + 2) * 19 + 12
+    for _ in range(400):  # past days that are none
+        value = feistel(value, 400 * 3, 19, "date/13/10", "key")
+        y, m, d = value // 57 + 1800, value // 19 % 3 + 10, value % 19 + 13
+        if not (m == 11 and d == 31):
+            break
+    assert day == [str(y), str(m), str(d)]
+    y, m, d = got[7].split()[3].split("/")
+    assert got[7] == f"{d}.{m}.{y} 0{d}.0{m}.{y} {d}/{m}/{y} {y}/{m}/{d}" and got[8] == FORMS[8] and got[10] != FORMS[10]
+    assert [r.text for r in pii.reveal(hidden, "key").orderBy("doc_id").collect()] == FORMS
+
+
+def test_columns_with_the_operators_own_names_pass(spark):
+    docs = spark.createDataFrame([(1, "4227025300029028", "a", "b", "c", "d")], "doc_id long, body string, found__ string, new__ string, woven__ string, text string")
+    row = pii.pseudonymise(docs, "key", text_col="body").first()
+    assert row[0] == 1 and row.body != "4227025300029028" and row[2:6] == ("a", "b", "c", "d") and row.kinds == "card"
+
+
 @pytest.mark.parametrize("a,b", [(1, 10), (7, 13), (189, 773)])
 def test_feistel_is_a_permutation(spark, a, b):
     n = a * b
