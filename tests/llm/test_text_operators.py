@@ -160,6 +160,81 @@ def test_licences_and_their_directories(spark):
     assert licenses.license_scan(docs.limit(0)).count() == 0
 
 
+GPL_HEADER = """#!/usr/bin/env tool
+# This program is free software: you can redistribute it and/or modify it
+# under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+import things
+from there import more
+and so on to the end of it
+"""
+
+
+def wrapped(text, width, before=""):
+    import textwrap
+    return "\n".join(before + x for x in textwrap.wrap(text, width))
+
+
+def test_headers_and_whole_licence_files(spark):
+    mit = "MIT License\n\nCopyright (c) 2020 Someone\n\n" + "\n\n".join(wrapped(x, 70) for x in licenses._MIT) + "\n"
+    apache = "/*\n" + "\n *\n".join(wrapped(x, 60, " * ") for x in licenses._APACHE) + "\n */\nclass A {}\n" + "code here and there\n" * 40
+    gpl = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n" + "long terms follow here\n" * 300
+    rows = [("p/LICENSE", mit), ("p/a.py", "some prose"), ("q/b.py", GPL_HEADER + "more code\n" * 60), ("q/c.py", "prose"), ("r/A.java", apache),
+            ("s/COPYING", gpl), ("s/t/u.c", "int main"), ("v/text", mit.replace("\n\n", "\n")), ("v/w", "x"), ("y/LICENSE", "nothing of the kind"), ("y/z", "")]
+    docs = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "doc_id long, path string, text string").withColumn(
+        "kind", F.lit(1)).withColumn("folder", F.lit(1))
+    got = {r.path: (r.own_license, r.is_license_file, r.license, r.inherited_from) for r in licenses.license_scan(docs).collect()}
+    assert got == {
+        "p/LICENSE": ("MIT", True, "MIT", None), "p/a.py": (None, False, "MIT", "p"), "q/b.py": ("GPL-3.0", False, "GPL-3.0", None),
+        "q/c.py": (None, False, None, None), "r/A.java": ("Apache-2.0", False, "Apache-2.0", None), "s/COPYING": ("GPL-3.0", True, "GPL-3.0", None),
+        "s/t/u.c": (None, False, "GPL-3.0", "s"), "v/text": ("MIT", True, "MIT", None), "v/w": (None, False, "MIT", "v"),
+        "y/LICENSE": (None, False, None, None), "y/z": (None, False, None, None)}
+
+
+def own_by_hand(rows):
+    import math
+    from collections import Counter
+    frequencies = Counter(t for _, text in rows for t in set(licenses.terms(text or "")))
+    idf = lambda t: math.log((1 + len(rows)) / (1 + frequencies[t])) + 1
+    vector = lambda text: {t: n * idf(t) for t, n in Counter(licenses.terms(text)).items()}
+    norm = lambda v: math.sqrt(sum(w * w for w in v.values()))
+    templates = [(name.split("/")[0], vector(text)) for name, text in licenses.ALL_TEMPLATES.items()]
+    found = {}
+    for i, text in rows:
+        lines = (text or "").split("\n")
+        kinds = [0 if not re.search("[A-Za-z0-9]", x) else 2 if re.match(licenses.COMMENT, x) else 1 for x in lines]
+        passages = ["\n".join(lines[a:a + k]) for a in range(len(lines)) for k in range(1, licenses.RUN_LINES + 1) if a + k <= len(lines)]
+        begins = [a for a in range(len(lines)) if not a or kinds[a] != kinds[a - 1]]
+        passages += ["\n".join(lines[a:b]) for a, b in zip(begins, begins[1:] + [len(lines)])]
+        best = None
+        for v in filter(None, map(vector, passages)):
+            for name, t in templates:
+                cosine = round(sum(w * t.get(x, 0) for x, w in v.items()) / norm(v) / norm(t), 6)
+                if cosine >= licenses.THRESHOLD and (best is None or (-cosine, name) < best):
+                    best = (-cosine, name)
+        found[i] = best and (best[1], -best[0])
+    return found
+
+
+def test_scan_equals_cosines_by_hand(spark):
+    pick = random.Random(11)
+    words = " ".join(licenses.ALL_TEMPLATES.values()).split() + "some other words of prose that stand around".split()
+    rows = [(0, None), (1, ""), (2, GPL_HEADER), (3, GPL_HEADER)]
+    for i in range(4, 120):
+        text = pick.choice(list(licenses.ALL_TEMPLATES.values())).split()
+        text = [pick.choice(words) if pick.random() < 0.25 else w for w in text if pick.random() < 0.85] if i % 3 else pick.choices(words, k=60)
+        mark, breaks = pick.choice(["", "", "# ", " * "]), pick.choice([0.05, 0.15, 0.3])
+        text = "".join(w + (pick.choice(["\n", "\n", "\n\n"]) + mark if pick.random() < breaks else " ") for w in text)
+        rows.append((i, pick.choice(["", "some prose\n", "code here\n\n"]) + mark + text + pick.choice(["", "\ncode there"])))
+    docs = spark.createDataFrame([(i, f"{i}/f", t) for i, t in rows], "doc_id long, path string, text string")
+    got = {r.doc_id: r.own_license and (r.own_license, r.own_cosine) for r in licenses.license_scan(docs).collect()}
+    want = own_by_hand(rows)
+    assert sum(x is not None for x in want.values()) > 40
+    for i in want:
+        assert (got[i] is None) == (want[i] is None) and (want[i] is None or got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 2e-6), i
+
+
 def test_common_words_beside_a_notice_weigh_little(spark):
     for n in (50, 1000):
         rows = [(0, "d/f", "prose\nReleased under the MIT License, see the file for details you may have.\n" + "prose\n" * 50)]
