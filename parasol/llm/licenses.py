@@ -9,8 +9,9 @@ headers, and the texts of short licences, whole and by paragraph. Cosine is exac
 only computed where it can reach the threshold: with a template's terms in order of
 weight, the last ones whose weights together have a norm below the threshold cannot
 lift a passage over it alone, so a passage needs one of the others (its anchors).
-Passages without any anchor are out; the rest are split into terms and joined with
-the templates' terms, of which there are a fixed few.
+Passages without any anchor are out, and those whose terms outside the templates make
+them too long for it, each counted with the least weight a term can have; the rest are
+split into terms and joined with the templates' terms, of which there are a fixed few.
 *Files.* A document's own licence is its best passage's. A document that is mostly
 licence passages, or is named like a licence file and has a licence, is a licence
 file and speaks for its directory.
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -114,6 +116,7 @@ TEMPLATES_LONG = {
 ALL_TEMPLATES = TEMPLATES | TEMPLATES_LONG
 
 RUN_LINES = 4
+BOUND_SLOTS = 16381
 COMMENT = r"^\s*(?:#|//|\*|/\*|--|;|%|!|<!--|(?i:dnl|rem)\s)"
 LICENSE_FILE = "^(?i)(?:un)?(?:licen[cs]e|copying)(?:[._-].*)?$"
 
@@ -148,8 +151,48 @@ def template_vectors(n: int, frequencies: dict[str, int], threshold: float) -> t
     return vectors, idf, anchors
 
 
-def _passages(lines: Column, marks: Column, kinds: Column) -> Column:
-    """The runs of 1 to RUN_LINES lines and the longer blocks that hold a marked line: (kind, first line, lines, words)."""
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def may_reach(words: Column, vectors: dict, idf: dict[str, float], threshold: float) -> Column:
+    """False only if no template's cosine to ``words`` can reach the threshold.
+
+    The templates' own terms are known with their weights; any other term weighs at least its count. So the norm is at
+    least what is computed here, and a product at most that with each term's largest weight in a template.
+    """
+    known = sorted(idf)
+    largest = {t: max(v.get(t, 0.0) for v in vectors.values()) for t in known}
+    # Looked up by hash in constant arrays; terms of one slot share the bound that holds for both.
+    slot = {t: zlib.crc32(t.encode()) % BOUND_SLOTS for t in known}
+    low, high = [0.0] * BOUND_SLOTS, [0.0] * BOUND_SLOTS
+    for t in known:
+        low[slot[t]] = min(low[slot[t]] or idf[t], idf[t])
+        high[slot[t]] = max(high[slot[t]], idf[t] * largest[t])
+
+    def constant(values: list[float]) -> Column:
+        return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+
+    def at(values: list[float], term: Column) -> Column:
+        return F.get(constant(values), (F.crc32(term.cast("binary")) % BOUND_SLOTS).cast("int"))
+
+    def bound(all_terms: Column) -> Column:
+        def of(own: Column) -> Column:
+            counts = F.transform(F.array_distinct(own), lambda t: F.struct(
+                t.alias("t"), F.size(F.filter(own, lambda x: x == t)).cast("double").alias("n")))
+            start = F.struct(F.lit(0.0).alias("dot"), F.lit(0.0).alias("mass"))
+            sums = F.aggregate(counts, start, lambda s, c: F.struct(
+                (s["dot"] + c["n"] * at(high, c["t"])).alias("dot"),
+                (s["mass"] + F.pow(c["n"] * at(low, c["t"]), F.lit(2.0))).alias("mass")))
+            others = F.size(all_terms) - F.size(own)
+            return _let(sums, lambda s: s["dot"] >= (threshold - 1e-6) * F.sqrt(s["mass"] + others))
+        return _let(F.filter(all_terms, lambda t: t.isin(known)), of)
+    return _let(_line_terms(words), bound)
+
+
+def _passages(lines: Column, marks: Column, kinds: Column, wanted) -> Column:
+    """The ``wanted`` runs of 1 to RUN_LINES lines and longer blocks that hold a marked line: (kind, first line, lines, words)."""
     n = F.size(lines)
 
     def passage(kind: str, first: Column, size: Column) -> Column:
@@ -167,18 +210,20 @@ def _passages(lines: Column, marks: Column, kinds: Column) -> Column:
 
     blocks_of = F.filter(F.get(F.transform(F.array(begins), blocks), F.lit(0)), lambda x: x["size"] > 1)
     marked = F.filter(F.concat(each, blocks_of), lambda x: F.exists(F.slice(marks, x["first"] + 1, x["size"]), lambda m: m))
-    return F.transform(marked, lambda x: F.struct(x["kind"].alias("kind"), x["first"].alias("first"), x["size"].alias("size"),
+    spelt = F.transform(marked, lambda x: F.struct(x["kind"].alias("kind"), x["first"].alias("first"), x["size"].alias("size"),
                                                   F.array_join(F.slice(lines, x["first"] + 1, x["size"]), "\n").alias("words")))
+    return F.filter(spelt, lambda x: wanted(x["words"]))
 
 
-def candidate_lines(docs: DataFrame, anchors: set[str]) -> DataFrame:
-    """(row key, path, total terms of the text, line, kind, words) of the passages with an anchor; repeated rows once."""
+def candidate_lines(docs: DataFrame, anchors: set[str], vectors: dict, idf: dict[str, float], threshold: float) -> DataFrame:
+    """(row key, path, total terms of the text, line, kind, words) of the passages that may match; repeated rows once."""
     anchor = "(?<![a-z0-9])(?:" + "|".join(sorted(anchors)) + ")(?![a-z0-9])"
     texts = docs.where(F.lower("text").rlike(anchor)).select(
         *ROW_KEY, "path", F.size(_line_terms(F.col("text"))).alias("total"), F.split("text", "\n").alias("lines"))
     kind = lambda x: F.when(~x.rlike("[A-Za-z0-9]"), 0).when(x.rlike(COMMENT), 2).otherwise(1)
     texts = texts.withColumn("marks", F.transform("lines", lambda x: F.lower(x).rlike(anchor))).withColumn("kinds", F.transform("lines", kind))
-    found = texts.select(*ROW_KEY, "path", "total", F.posexplode(_passages(F.col("lines"), F.col("marks"), F.col("kinds"))).alias("line", "found"))
+    found = texts.select(*ROW_KEY, "path", "total", F.posexplode(_passages(
+        F.col("lines"), F.col("marks"), F.col("kinds"), lambda words: may_reach(words, vectors, idf, threshold))).alias("line", "found"))
     return found.select(*ROW_KEY, "path", "total", "line", "found.kind", "found.words").distinct()
 
 
@@ -221,8 +266,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", path_col: str = "path"
     vocabulary = sorted({t for text in ALL_TEMPLATES.values() for t in terms(text)})
     n, frequencies = rows.count(), materialized(document_frequencies(rows), "license-terms")
     known = {f["term"]: f["n"] for f in frequencies.where(F.col("term").isin(vocabulary)).collect()}
-    vectors, _, anchors = template_vectors(n, known, threshold)
-    candidates = materialized(candidate_lines(rows.drop("id"), anchors), "license-candidates")
+    vectors, idf, anchors = template_vectors(n, known, threshold)
+    candidates = materialized(candidate_lines(rows.drop("id"), anchors, vectors, idf, threshold), "license-candidates")
     lines = matched_lines(candidates, vectors, n, frequencies, threshold)
     best = F.min(F.struct((-F.col("cosine")).alias("minus"), "license")).alias("best")
     covered = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n_terms"))), F.lit(0)) for k in ("line", "block")]  # these do not overlap
