@@ -1,7 +1,9 @@
 """Token counts, toxicity, pseudonyms, licences and mixtures."""
 
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from odd import LONG, TEXTS, documents, nothing
@@ -43,6 +45,68 @@ def test_toxicity_on_held_out_rows(spark):
     assert right.hit >= 0.7 * right.toxic and right.wrong <= 0.05 * right.n
 
 
+def by_hand(rows, text, fold=None, margin=0.0):
+    """Summed differences of a text's words, per word and per root, from (text, toxic, fold) rows one by one."""
+    bags = [(Counter(re.findall("[^\x00-\x60\x7b-\x7f]+", t)), toxic, f) for t, toxic, f in rows]
+    contexts = Counter(w for bag, _, _ in bags for w in bag)
+    logs = []
+    for chosen in (True, False):
+        n = Counter()
+        for bag, toxic, f in bags:
+            if toxic == chosen and f != fold:
+                n.update({w: k.bit_length() for w, k in bag.items()})
+        whole, kinds = sum(n.values()), len(n)
+        backoff = 0.75 * kinds / whole
+
+        def log_p(w, n=n, whole=whole, backoff=backoff):
+            return math.log((max(n[w] - 0.75, 0) / whole + backoff * contexts[w] / sum(contexts.values())) / backoff)
+        logs.append(log_p)
+    total, words = 0.0, 0
+    for w, k in Counter(re.findall("[^\x00-\x60\x7b-\x7f]+", text)).items():
+        d = logs[0](w) - logs[1](w) if contexts[w] else 0.0
+        total += k.bit_length() * math.copysign(max(abs(d) - margin, 0), d)
+        words += k.bit_length()
+    return total / max(words, 1), total / math.sqrt(max(words, 1))
+
+
+def test_toxicity_equals_kneser_ney_by_hand(spark):
+    pick = random.Random(8)
+    common, vile = [f"wort{chr(97 + i)}" for i in range(20)] + ["ünï", "слово", "漢字"], ["scum", "vile", "гад"]
+    rows = []
+    for i in range(120):
+        toxic = i % 3 == 0
+        rows.append((" ".join(pick.choice(vile if toxic and pick.random() < .3 else common) for _ in range(pick.randint(0, 40))), toxic, i % 5))
+    texts = [t for t, _, _ in rows[:40]] + ["", "scum", "unseen words", "scum " * 50, "worta " * 9 + "vile"]
+    counts = toxicity.count_words(spark.createDataFrame(rows, "text string, toxic boolean, fold int"))
+    words = toxicity.differences(counts).cache()
+    for model, fold in ((2, 2), (toxicity.FOLDS, None)):
+        asked = spark.createDataFrame([(i, t, model) for i, t in enumerate(texts)], "doc_id long, text string, model int")
+        for shipped in (10**6, 0):  # both plans
+            for r in toxicity.measures(asked, words, (0.0, 1.0), shipped).collect():
+                for i, margin in enumerate((0.0, 1.0)):
+                    assert (r.per_word[i], r.per_root[i]) == pytest.approx(by_hand(rows, texts[r.doc_id], fold, margin), abs=1e-9)
+
+
+def test_toxicity_counts_keep_every_word_apart(spark):
+    base = spark.range(60_000)
+    letters = {"latin": "abcdefghij", "greek": "αβγδεζηθικ", "cyrillic": "абвгдежзик"}
+    rows = None
+    for i, alphabet in enumerate(letters.values()):
+        words = F.concat_ws(" ", *[F.translate((base.id * 3 + k).cast("string"), "0123456789", alphabet) for k in range(3)])
+        part = base.select(words.alias("text"), (F.lit(i) == 0).alias("toxic"), (base.id % 5).cast("int").alias("fold"))
+        rows = part if rows is None else rows.union(part)
+    counts = toxicity.count_words(rows)
+    found = counts.agg(F.count("*"), F.max("contexts"), F.sum("contexts")).first()
+    assert tuple(found) == (3 * 180_000, 1, 3 * 180_000)
+
+
+def test_toxicity_by_either_plan(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    found = [{r.doc_id: r.score for r in toxicity.toxicity_scores(docs, labels, shipped_words=n).collect()} for n in (10**6, 0)]
+    assert found[0] == pytest.approx(found[1], abs=1e-6)
+
+
 def test_toxicity_learns_nothing_from_held_out_labels(spark):
     docs = documents(spark, clash=False)
     ids = [i for i in range(1, 40) if spark.range(1).select(F.crc32(F.lit(str(i)).cast("binary")) % 3).first()[0] == 1]
