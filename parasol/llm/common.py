@@ -32,14 +32,22 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
             F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias(ROW_KEY[1])]
 
 
+def by_place(docs: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its columns named by their places, so that an operator's own names stay free, and the new
+    names of ``columns``. ``toDF(*docs.columns)`` gives the old names back."""
+    names = [f"c{i}__" for i in range(len(docs.columns))]
+    return docs.toDF(*names), [names[docs.columns.index(c)] for c in columns]
+
+
 def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` named by ``keys`` (ROW_KEY columns, unique), each repeated row once.
 
     One shuffle carries the texts: the window needs the partitioning and order the join leaves.
     """
-    marked = docs.select("*", *row_key(id_col, text_col)).join(keys.select(*ROW_KEY), ROW_KEY)
+    rows, of = by_place(docs, id_col, text_col)
+    marked = rows.select("*", *row_key(*of)).join(keys.select(*ROW_KEY), ROW_KEY)
     nth = F.row_number().over(Window.partitionBy(*ROW_KEY).orderBy(*ROW_KEY))
-    return marked.withColumn("row_nth__", nth).where("row_nth__ = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return marked.withColumn("row_nth__", nth).where("row_nth__ = 1").select(*rows.columns).toDF(*docs.columns)
 
 
 def ship_by_value(module_name: str) -> None:

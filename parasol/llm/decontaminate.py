@@ -37,7 +37,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from parasol.llm.common import ROW_KEY, ascii_lower, row_key, ship_by_value
+from parasol.llm.common import ROW_KEY, ascii_lower, by_place, row_key, ship_by_value
 from parasol.llm.word_arrays import batch_words, byte_class, slices
 from parasol.session import scratch_path
 
@@ -266,5 +266,6 @@ def drop_contaminated(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id",
                       window: int = WINDOW, one_in: int = 20) -> DataFrame:
     """``docs`` without the contaminated rows. A row's verdict depends on its text alone, so repeated rows share it."""
     bad = contamination(docs, tests, id_col, text_col, window, one_in).where("contaminated").select(*ROW_KEY).distinct()
-    kept = docs.select("*", *row_key(id_col, text_col)).join(bad, ROW_KEY, "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, of = by_place(docs, id_col, text_col)
+    kept = rows.select("*", *row_key(*of)).join(bad, ROW_KEY, "left_anti")
+    return kept.select(*rows.columns).toDF(*docs.columns)

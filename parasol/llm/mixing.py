@@ -23,12 +23,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from parasol.llm.common import by_place
 from parasol.session import materialized
 
 MARGINS = ("source", "lang", "topic")
 ROUNDS = 10
 TEMPER = {"source": 0.85, "lang": 0.85, "topic": 1.0}
 HASH_BITS = 52
+RESULTS = ["topic", "n_tokens", "weight", "probability", "sampled"]
 
 
 def token_count(text: Column) -> Column:
@@ -83,13 +85,13 @@ def unit_hash(id_col: Column, seed: int) -> Column:
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", temper: dict[str, float] | None = None,
             rounds: int = ROUNDS, seed: int = 1, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """``docs`` with topic, n_tokens, weight (the cell's factor), probability and sampled."""
-    marked = docs.drop("topic", "n_tokens", "weight", "probability", "sampled")
+    docs = docs.drop(*RESULTS)
+    marked, (id_col, text_col, source, lang) = by_place(docs, id_col, text_col, "source", "lang")
     marked = marked.withColumns({
         "topic": topic_of(F.col(text_col)), "n_tokens": token_count(F.col(text_col)),
-        **{f"{m}__": F.coalesce(F.col(m).cast("string"), F.lit("")) for m in ("source", "lang")}})
-    key = {"source": "source__", "lang": "lang__", "topic": "topic"}
+        "source": F.coalesce(F.col(source).cast("string"), F.lit("")), "lang": F.coalesce(F.col(lang).cast("string"), F.lit(""))})
     cells = materialized(
-        marked.select(*[F.col(key[m]).alias(m) for m in MARGINS], "n_tokens").groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")),
+        marked.select(*MARGINS, "n_tokens").groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")),
         "mix-cells")
     fitted = rake(cells, targets or {m: tempered(cells, m, (temper or TEMPER)[m]) for m in MARGINS}, rounds)
     fitted = materialized(fitted, "mix-fitted")
@@ -99,6 +101,6 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tem
                            probability.alias("probability"))
     # Written, so that its size is known: the planner sends it to the documents if it is small.
     fitted = materialized(fitted, "mix-probabilities")
-    on = [F.col(key[m]) == F.col(f"cell_{m}") for m in MARGINS]
-    found = marked.join(fitted, on).drop("source__", "lang__", *[f"cell_{m}" for m in MARGINS])
-    return found.withColumn("sampled", unit_hash(F.col(id_col), seed) < F.col("probability"))
+    on = [F.col(m) == F.col(f"cell_{m}") for m in MARGINS]
+    found = marked.join(fitted, on).withColumn("sampled", unit_hash(F.col(id_col), seed) < F.col("probability"))
+    return found.select(*[f"c{i}__" for i in range(len(docs.columns))], *RESULTS).toDF(*docs.columns, *RESULTS)

@@ -6,7 +6,8 @@ TEXTS = [
     (3, None), (4, ""), (5, "   \n\t "), (None, "the quick brown fox jumps over the lazy dog again"), (6, LONG), (7, LONG),
     (2, "The Quick brown fox jumps over the lazy dog again"), (8, "Ünïcode Éa ée 漢字 ß ²½"), (9, None), (10, "x"),
 ]
-NAMES = ("hash", "fp", "id", "row", "segment", "spans", "items", "key", "norm", "score", "kept", "topic", "weight", "path", "found__")
+NAMES = ("hash", "fp", "id", "row", "segment", "spans", "items", "key", "norm", "score", "kept", "topic", "weight", "path", "found__",
+         "cell_source", "cell_lang", "source__", "lang__", "row_key_1__", "row_key_2__", "row_nth__")
 
 
 def documents(spark, rows=TEXTS, clash=True):

@@ -342,4 +342,5 @@ def test_mixture_of_odd_rows(spark):
     rows = found.collect()
     assert len(rows) == len(TEXTS) and all(0 < r.probability <= 1 for r in rows)
     assert {r.n_tokens for r in rows if r.text is None} == {0}
+    assert all(r.cell_source == r.source__ == r.lang__ == str(len(r.text or "")) for r in rows)
     assert mixing.mixture(nothing(spark)).count() == 0
