@@ -55,11 +55,11 @@ def by_hand(rows, text, fold=None, margin=0.0):
         for bag, toxic, f in bags:
             if toxic == chosen and f != fold:
                 n.update({w: k.bit_length() for w, k in bag.items()})
-        whole, kinds = sum(n.values()), len(n)
-        backoff = 0.75 * kinds / whole
+        whole = sum(n.values())
+        backoff = sum(min(k, 1.5) for k in n.values()) / whole
 
         def log_p(w, n=n, whole=whole, backoff=backoff):
-            return math.log((max(n[w] - 0.75, 0) / whole + backoff * contexts[w] / sum(contexts.values())) / backoff)
+            return math.log((max(n[w] - 1.5, 0) / whole + backoff * contexts[w] / sum(contexts.values())) / backoff)
         logs.append(log_p)
     total, words = 0.0, 0
     for w, k in Counter(re.findall("[^\x00-\x60\x7b-\x7f]+", text)).items():
