@@ -5,21 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parasol.streaming import keyed
+
 
 def disruptions_of_claims(claims: DataFrame, fired: DataFrame, hours: int = 6, late: str = "1 hour") -> DataFrame:
-    """(claim_sk, disrupted_at): a row per claim and disruption of its pincode in the hours before it, one without if there is none.
+    """(claim_sk, claimed_at, disrupted_at): a row per claim with the newest disruption of its pincode in the hours before it, none if there is none.
 
-    Both sides carry a watermark and the interval bounds how far apart partners lie, so either side's state is
-    dropped once the other can no longer match it. ``claims`` have claim_sk, pincode and claimed_at, ``fired``
-    pincode and fired_at, both timestamps. Disruptions of one pincode and instant count once.
+    Both sides carry a watermark and wait until it has passed, then claims and disruptions are matched in order of
+    time: no pairs are made, and what is held is what waits and a disruption per pincode. ``claims``
+    have claim_sk, pincode and claimed_at, ``fired`` pincode and fired_at, both timestamps.
     """
-    left = claims.select("claim_sk", "pincode", "claimed_at").withWatermark("claimed_at", late).alias("c")
-    right = fired.select("pincode", "fired_at").withWatermark("fired_at", late).dropDuplicates(["pincode", "fired_at"]).alias("f")
-    within = ((F.col("c.pincode") == F.col("f.pincode")) & (F.col("f.fired_at") <= F.col("c.claimed_at"))
-              & (F.col("f.fired_at") >= F.col("c.claimed_at") - F.expr(f"INTERVAL {hours} HOURS")))
-    return left.join(right, within, "left_outer").select("c.claim_sk", "c.claimed_at", F.col("f.fired_at").alias("disrupted_at"))
+    found = keyed.latest_before(claims, fired, hours * 60 * keyed.MINUTE, late)
+    return found.select("claim_sk", *[F.timestamp_micros(c).alias(c) for c in ("claimed_at", "disrupted_at")])
 
 
 def latest_disruption(pairs: DataFrame) -> DataFrame:
-    """The newest disruption of each claim. The interval bounds the rows of a claim."""
+    """The newest disruption of each claim, also if it was filed more than once."""
     return pairs.groupBy("claim_sk").agg(F.max("disrupted_at").alias("disrupted_at"))
