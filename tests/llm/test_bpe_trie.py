@@ -1,5 +1,6 @@
 """BPE encoding over a trie, held to the library and to merging by hand."""
 
+import gc
 import hashlib
 import random
 
@@ -94,3 +95,18 @@ def test_odd_rows_and_empty_tables(spark, library):
         (i or 0, len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in TEXTS)
     assert bpe_trie.encoded(nothing(spark), PATH).count() == 0
     assert bpe_trie.decoded(spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>"), PATH).select("decoded").distinct().collect()[0][0] == ""
+
+
+def test_no_search_for_cycles_while_a_task_encodes():
+    """The search goes on after the task, also one that fails; a task leaves no cycles behind that it would have found."""
+    assert gc.isenabled()
+    with pytest.raises(KeyError), bpe_trie.uncollected():
+        assert not gc.isenabled()
+        raise KeyError
+    assert gc.isenabled()
+    encoder = bpe_trie.Encoder(PATH)
+    gc.collect()
+    with bpe_trie.uncollected():
+        for n in range(20):
+            encoder.forget([*encoder.remembered([f"word{n}{k}, <|endoftext|>é{k}" for k in range(200)])])
+        assert gc.collect() < 100
