@@ -192,3 +192,12 @@ def test_workers_absent_from_a_load_stay(spark, tables, tmp_path):
     held = house.dims["worker"].read()
     assert held.count() == tables.workers.count()
     assert held.where("worker_id % 3 = 0 and risk_segment <> 'LOW'").count() == 0 and held.where("risk_segment <> 'LOW'").count() > 0
+
+
+def test_loads_read_payouts_that_are_worked_out_once(spark, tables):
+    """A load reads them twice, for their dates and for the facts; neither may aggregate all requests again."""
+    from parasol.plans import warehouse_queries
+
+    once = warehouse_queries._payouts(tables)
+    assert "Aggregate" not in once._jdf.queryExecution().executedPlan().toString()
+    assert sorted(once.collect()) == sorted(wh.payouts_from_requests(tables.payout_requests).collect())
