@@ -10,6 +10,7 @@ from parasol.operators.iforest import fit_forest, tree_samples
 from parasol.plans.warehouse import Warehouse, run_full_etl
 from parasol.session import scratch_path
 from parasol.sources.store import BatchTable, MergedTable, VersionedTable
+from parasol.streaming.fraud_job import FraudJob
 from parasol.streaming.history import ClaimHistory
 from parasol.streaming.payout_job import PayoutJob
 
@@ -201,3 +202,43 @@ def test_loads_read_payouts_that_are_worked_out_once(spark, tables):
     once = warehouse_queries._payouts(tables)
     assert "Aggregate" not in once._jdf.queryExecution().executedPlan().toString()
     assert sorted(once.collect()) == sorted(wh.payouts_from_requests(tables.payout_requests).collect())
+
+
+def test_a_batch_of_claims_is_worked_out_once(spark, tables, tmp_path):
+    """The layers read the batch's claims from what is written, not from its deduplication over again."""
+    class Stop(Exception):
+        pass
+
+    plans = []
+
+    def assemble(claims, network):
+        plans.append(claims._jdf.queryExecution().optimizedPlan().toString())
+        raise Stop
+
+    job = FraudJob(spark, str(tmp_path), tables.workers, assemble)
+    with pytest.raises(Stop):
+        job.handle(tables.claims.unionAll(tables.claims), 0)
+    assert "Aggregate" not in plans[0] and "Join" not in plans[0]
+
+
+def test_forest_scores_follow_the_trees_and_many_rows_are_dealt_out(spark, monkeypatch):
+    from parasol.operators import iforest
+    nan = float("nan")
+    rows = [(i, (i * 37 % 101) / 7.0, (i * 53 % 97) / 5.0 if i % 50 else nan) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, a double, b double").coalesce(1)
+    monkeypatch.setattr(iforest, "ROWS_PER_TASK", 200)
+    assert iforest.spread(df, ["id"], 900).rdd.getNumPartitions() == 5 and iforest.spread(df, ["id"], 200).rdd.getNumPartitions() == 1
+    forest = fit_forest(df.fillna(0.0), "id", ["a", "b"], n_trees=7, sample=64)
+    norm = float(iforest.expected_path(64))
+
+    def walked(point):
+        total = 0.0
+        for tree in forest.trees:
+            at = 0
+            while tree["feature"][at] >= 0:
+                at = tree["left" if point[tree["feature"][at]] < tree["threshold"][at] else "right"][at]
+            total += tree["path"][at]
+        return -(2.0 ** -(total / 7 / norm))
+
+    got = {r.id: r.raw for r in forest.with_scores(df).collect()}
+    assert all(abs(got[i] - (walked((a, b)) - forest.offset)) < 1e-12 for i, a, b in rows)
