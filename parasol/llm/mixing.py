@@ -6,8 +6,8 @@ first, so a source with a third of all rows sends one row per task and cell.
 by margin in ``TEMPER``, and normalised), or given.
 *Raking.* A cell's weight is its tokens times one factor per margin value. In
 turn, each margin's factors are set so that its weighted totals equal its
-targets, ``rounds`` times over. A step adds up the cells and writes the new
-factors (one row per margin value) to the shared folder, which cuts the lineage.
+targets, ``rounds`` times over. A step adds up the cells and writes them
+with their new factors to the shared folder, which cuts the lineage.
 *Sampling.* A document's probability is its cell's factor product over the
 largest one, so expected tokens meet all three targets at the largest scale at
 which no probability exceeds 1. It is kept if a number between 0 and 1 hashed
@@ -56,22 +56,21 @@ def tempered(cells: DataFrame, margin: str, temper: float) -> DataFrame:
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
     """``cells`` (margins, tokens) with ``factor``, the product of the fitted factors."""
-    targets = {m: materialized(t, f"mix-target-{m}") for m, t in targets.items()}
-    factors = {m: t.select(m, F.lit(1.0).alias(f"f_{m}")) for m, t in targets.items()}
+    for m, t in targets.items():
+        cells = cells.join(t.select(m, F.col("target").alias(f"t_{m}")), m).withColumn(f"f_{m}", F.lit(1.0))
+    cells = materialized(cells, "mix-raked")
     for _ in range(rounds):
         for margin in targets:
             weight = F.col("tokens").cast("double")
-            weighted = cells
             for other in targets:
                 if other != margin:
-                    weighted = weighted.join(factors[other], other)
                     weight = weight * F.col(f"f_{other}")
-            totals = weighted.groupBy(margin).agg(F.sum(weight).alias("total"))
-            factor = F.when(F.col("total") > 0, F.col("target") / F.col("total")).otherwise(1.0)
-            factors[margin] = materialized(targets[margin].join(totals, margin).select(margin, factor.alias(f"f_{margin}")), f"mix-{margin}")
+            # One small table is joined per step: what is sent out costs the driver memory each time.
+            totals = cells.groupBy(margin).agg(F.sum(weight).alias("total"))
+            factor = F.when(F.col("total") > 0, F.col(f"t_{margin}") / F.col("total")).otherwise(1.0)
+            cells = materialized(cells.join(totals, margin).withColumn(f"f_{margin}", factor).drop("total"), "mix-raked")
     product = F.lit(1.0)
     for margin in targets:
-        cells = cells.join(factors[margin], margin)
         product = product * F.col(f"f_{margin}")
     return cells.select(*targets, "tokens", product.alias("factor"))
 

@@ -42,3 +42,19 @@ def test_run_gives_the_last_stage(spark):
     found = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "text", "probability"} <= set(found.columns) and 0 < found.count() < 200
     assert found.where(F.col("probability") > 1).count() == 0
+
+
+def test_a_raking_step_joins_one_small_table(spark, monkeypatch):
+    """What a step sends out is built in the driver's memory, ten rounds over."""
+    from parasol.llm import mixing
+    plans, kept = [], mixing.materialized
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return kept(df, name)
+
+    monkeypatch.setattr(mixing, "materialized", seen)
+    cells = spark.createDataFrame([(s, g, t, 10 * i + j) for i, s in enumerate("abc") for j, (g, t) in enumerate((("de", "x"), ("en", "x"), ("en", "y")))],
+                                  "source string, lang string, topic string, tokens long")
+    fitted = mixing.rake(cells, {m: mixing.tempered(cells, m, 0.85) for m in mixing.MARGINS}, rounds=2)
+    assert [plan.count("Join ") for plan in plans[1:]] == [1] * 6 and fitted.count() == 9
