@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parasol.functions.numeric import as_col, round_to, truthy_or
 from parasol.functions.temporal import day_text, micros
 from parasol.operators import scans
-from parasol.session import checkpointed
+from parasol.session import checkpointed, materialized
 
 
 def sustained(readings: DataFrame, qualifies: Column, minutes: int) -> DataFrame:
@@ -75,10 +75,14 @@ def registration_spikes(first_days: DataFrame, days: int = 14) -> DataFrame:
     return daily.withColumn("registered_14d", F.sum("registered").over(trailing))
 
 
-def zone_consensus(scored: DataFrame, neighbours: int = 40) -> DataFrame:
-    """Add ``consensus``: enough other workers' clean claims in the same zone and day."""
-    dated = scored.withColumn("day", day_text("created_at"))
-    clean = F.size("flags") == 0
+def zone_consensus(scored: DataFrame, neighbours: int = 40, n_flags=None) -> DataFrame:
+    """Add ``consensus``: enough other workers' clean claims in the same zone and day.
+
+    Claims and both counts read the scored rows, so these are written once. They
+    are shuffled whole: give only the columns read later.
+    """
+    dated = materialized(scored.withColumn("day", day_text("created_at")), "consensus")
+    clean = (F.size("flags") if n_flags is None else as_col(n_flags)) == 0
     per_worker = dated.groupBy("pincode", "day", "worker_id").agg(F.max(clean.cast("int")).alias("own_clean"))
     per_zone = per_worker.groupBy("pincode", "day").agg(F.sum("own_clean").alias("clean_workers"))
     joined = dated.join(per_worker, ["pincode", "day", "worker_id"]).join(per_zone, ["pincode", "day"])
@@ -92,9 +96,12 @@ def lane(consensus=None) -> Column:
     score = truthy_or("trust_score", 50.0)
     strict = (F.when((score >= 75) & (F.col("account_age_days") > 60) & (signals == 0), "green")
               .when(signals.between(1, 2), "yellow").otherwise("red"))
-    if consensus is None:
-        return strict
-    return F.when((strict == "red") & as_col(consensus), "yellow").otherwise(strict)
+    return strict if consensus is None else softened(strict, consensus)
+
+
+def softened(strict, consensus) -> Column:
+    red = as_col(strict) == "red"
+    return F.when(red & as_col(consensus), "yellow").otherwise(as_col(strict))
 
 
 def boosted_cap(claims: DataFrame, plans: DataFrame, alerts: DataFrame) -> DataFrame:

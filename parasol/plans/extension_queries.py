@@ -80,8 +80,10 @@ SELECT claim_sk, CAST(total - own AS BIGINT) AS clean_neighbours, CASE WHEN lane
 FROM ln JOIN pw ON pw.pincode = ln.pincode AND pw.worker_id = ln.worker_id AND pw.day = CAST(ln.created_at AS DATE) JOIN pz ON pz.pincode = ln.pincode AND pz.day = pw.day
 """)
 def d6(t):
-    scored = ext.zone_consensus(fraud.score_claims(assembled(t)))
-    return scored.select("claim_sk", "clean_neighbours", ext.lane("consensus").alias("lane"))
+    scored = fraud.score_claims(assembled(t)).select(
+        "claim_sk", "worker_id", "pincode", "created_at", F.size("flags").alias("n_flags"), ext.lane().alias("strict"))
+    found = ext.zone_consensus(scored, n_flags="n_flags")
+    return found.select("claim_sk", "clean_neighbours", ext.softened("strict", "consensus").alias("lane"))
 
 
 @query("d7_fraud_lanes", f"WITH {LAYERS_SQL}, {LANE_SQL} SELECT claim_sk, lane FROM ln")

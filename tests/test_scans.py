@@ -127,3 +127,29 @@ def test_rows_without_a_key_are_kept(spark):
     assert {r.id: r.f_id for r in known.collect()} == {1: 1, 4: 4, 2: None, 3: None}
     previous = scans.with_previous(df, ["key"], "at", "id", ["v"])
     assert {r.id: r.prev_v for r in previous.collect()} == {1: None, 4: 5, 2: None, 3: None}
+
+
+def test_zone_consensus_reads_scored_rows_once(spark):
+    """Counts equal brute force, and the claims are scored once, not once for each table joined."""
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["560034", "400001", None]), rng.choice([1, 2, 3, None]), f"2024-01-0{rng.randint(1, 2)} 10:00:00",
+             rng.choice([["NO_PAN"], []])) for i in range(60)]
+    scorings = spark.sparkContext.accumulator(0)
+
+    def score(flags):
+        scorings.add(1)
+        return flags
+
+    claims = spark.createDataFrame(rows, "claim_sk long, pincode string, worker_id long, at string, raw array<string>")
+    scored = claims.select("claim_sk", "pincode", "worker_id", F.col("at").cast("timestamp_ntz").alias("created_at"),
+                           F.udf(score, "array<string>")("raw").alias("flags"))
+    found = extensions.zone_consensus(scored, neighbours=2).collect()
+    assert scorings.value == len(rows)
+
+    def neighbours(zone, worker, at):
+        return len({w for _, z, w, a, flags in rows if z == zone and a[:10] == at[:10] and w != worker and not flags})
+    assert sorted((r.claim_sk, r.clean_neighbours, r.consensus) for r in found) == sorted(
+        (i, n, n >= 2) for i, zone, worker, at, _ in rows if zone and worker for n in [neighbours(zone, worker, at)])
+    counted = scored.select("claim_sk", "pincode", "worker_id", "created_at", F.size("flags").alias("n"))
+    again = extensions.zone_consensus(counted, neighbours=2, n_flags="n").collect()
+    assert sorted((r.claim_sk, r.consensus) for r in again) == sorted((r.claim_sk, r.consensus) for r in found)
