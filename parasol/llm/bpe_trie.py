@@ -16,9 +16,9 @@ are read off by stepping back from its last node.
 
 *Texts.* Texts are cut at ASCII white space, which no pre-token spans. Each
 distinct piece of a few megabytes of text goes through the library's own
-normaliser and pre-tokenizer once, its words through the trie once. The trie and
-the remembered pieces of a task start anew above a stated number of entries, so
-memory is bounded; words longer than ``LONGEST_WORD`` are walked by themselves
+normaliser and pre-tokenizer once, its words through the trie once. The trie with
+its words and the remembered pieces of a task start anew above a stated number of
+entries, so memory is bounded; words longer than ``LONGEST_WORD`` are walked by themselves
 and not kept. Nothing is shuffled, and no group of documents meets in one task.
 
 *Decoding* joins the strings of the ids, as the library does for a tokenizer
@@ -38,8 +38,10 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections import ChainMap
+from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +52,10 @@ from parasol.llm.word_arrays import batch_words, byte_class, slices
 
 ENDED = 0x10000  # added to the code point of a word's last symbol
 MOST_NODES = 800_000  # of a task's trie
-MOST_PIECES = 300_000  # whose encodings a task remembers
+MOST_PIECES = 300_000  # of text, and words of the trie, whose encodings a task remembers
 MOST_PAIRS = 1_000_000  # of tokens whose fit a task remembers
 LONGEST_WORD = 256
+Encoded = tuple[int, str, str]  # number of tokens, ids and decoded strings, as text joined by blanks
 WHITE = " \t\n\r\x0b\x0c"
 
 ship_by_value(__name__)
@@ -72,6 +75,8 @@ class Merges:
         spelt = {self.spelling(token, mark): number for token, number in vocab.items()}
         self.ids = {s: number for s, number in spelt.items() if len(s) == 1 or s in self.made}
         self.spelt = {number: s for s, number in self.ids.items()}
+        starts = {"": -1} | self.ids
+        self.grown = {starts[s[:-1]] << 21 | ord(s[-1]): number for s, number in self.ids.items() if s[:-1] in starts}  # token, symbol -> token
         self.tails = {s[k:] for s in self.ids for k in range(len(s))}
         self.fit: dict[tuple[int, int], bool] = {}
         self.edges: dict[tuple[str, int], list[tuple[str, int]]] = {}
@@ -147,10 +152,12 @@ class Trie:
         """The last node of each of ``words``, which are sorted, so that the walk is depth first: a word goes on where it
         leaves the one before. Nodes that are new are inserted on the way and get their state.
 
-        Of the tokens that end a node's prefix, the one that fits the state before it is taken; only one does.
+        Of the tokens that end a node's prefix, the one that fits the state before it is taken; only one does. The last token
+        of the shorter prefix with the new symbol is tried first.
         """
-        steps, last, back, ends = self.steps, self.last, self.back, []
-        ids, tails, fit, fitting = self.merges.ids, self.merges.tails, self.merges.fit, self.merges.fitting
+        last, back, ends = self.last, self.back, []
+        step_to, known_fit, id_of, grow = self.steps.get, self.merges.fit.get, self.merges.ids.get, self.merges.grown.get
+        tails, fitting = self.merges.tails, self.merges.fitting
         path, before = [0], ""
         for word in words:
             shared = 0
@@ -159,26 +166,39 @@ class Trie:
                     break
                 shared += 1
             del path[shared + 1:]
-            for depth in range(shared + 1, len(word) + 1):
-                step = path[-1] << 21 | ord(word[depth - 1])
-                node = steps.get(step)
+            node, depth = path[-1], shared
+            for symbol in word[shared:]:
+                depth += 1
+                shorter, code = node, ord(symbol)
+                step = shorter << 21 | code
+                node = step_to(step)
                 if node is None:
-                    start = depth - 1
-                    while start and word[start - 1:depth] in tails:
-                        start -= 1
-                    for at in range(start, depth):
-                        token = ids.get(word[at:depth])
-                        if token is not None:
-                            pair = last[path[at]], token
-                            if fit[pair] if pair in fit else fitting(*pair):
-                                break
-                    else:
-                        raise ValueError(f"no token of the vocabulary ends {word[:depth]!r}")
-                    node = steps[step] = len(last)
+                    root, token = back[shorter], grow(last[shorter] << 21 | code)
+                    fits = False
+                    if token is not None:
+                        fits = known_fit((last[root], token))
+                        if fits is None:
+                            fits = fitting(last[root], token)
+                    if not fits:
+                        start = depth - 1
+                        while start and word[start - 1:depth] in tails:
+                            start -= 1
+                        for at in range(start, depth):
+                            token = id_of(word[at:depth])
+                            if token is not None:
+                                root = path[at]
+                                fits = known_fit((last[root], token))
+                                if fits is None:
+                                    fits = fitting(last[root], token)
+                                if fits:
+                                    break
+                        else:
+                            raise ValueError(f"no token of the vocabulary ends {word[:depth]!r}")
+                    node = self.steps[step] = len(last)
                     last.append(token)
-                    back.append(path[at])
+                    back.append(root)
                 path.append(node)
-            ends.append(path[-1])
+            ends.append(node)
             before = word
         return ends
 
@@ -211,7 +231,8 @@ class Encoder:
         self.plain = self._ascii_split(written)
         self.special = re.compile("|".join(map(re.escape, self.specials)) or "(?!)").search
         self.strings = {number: token for token, number in (model["vocab"] | self.specials).items()}
-        self.trie, self.known = Trie(self.merges), {}
+        self.alone = {number: self.written([number]) for number in self.specials.values()}
+        self.trie, self.known, self.seen = Trie(self.merges), {}, dict(self.alone)
 
     @staticmethod
     def _ascii_split(written: dict):
@@ -235,29 +256,49 @@ class Encoder:
         before, after = (self.words(r) if r else [] for r in rest)
         return [*before, self.specials[special], *after]
 
+    def worded(self, words: set[str | int]) -> Mapping[str | int, Encoded]:
+        """The encoding of each of ``words`` and others seen before. New ones are inserted together and walked in one traversal."""
+        if len(self.trie.last) > MOST_NODES or len(self.seen) > MOST_PIECES:
+            self.trie, self.seen = Trie(self.merges), dict(self.alone)
+        new = sorted(w for w in words if w not in self.seen)
+        short = [w for w in new if len(w) <= LONGEST_WORD]
+        for w, end in zip(short, self.trie.traverse([self.ended(w) for w in short])):
+            self.seen[w] = self.written(self.trie.tokens(end))
+        if len(short) == len(new):
+            return self.seen
+        long = {}
+        for w in new:
+            if len(w) > LONGEST_WORD:
+                trie = Trie(self.merges)
+                long[w] = self.written(trie.tokens(trie.traverse([self.ended(w)])[0]))
+        return ChainMap(long, self.seen)
+
+    def written(self, ids: list[int]) -> Encoded:
+        return len(ids), " ".join(map(str, ids)), " ".join(map(self.strings.__getitem__, ids))
+
     def encode(self, pieces: list[str]) -> list[list[int]]:
-        """The ids of each piece. New words are inserted together and walked in one traversal."""
-        if len(self.trie.last) > MOST_NODES:
-            self.trie = Trie(self.merges)
+        """The ids of each piece."""
+        return [list(map(int, ids.split())) for _, ids, _ in self.encodings(pieces)]
+
+    def encodings(self, pieces: list[str]) -> list[Encoded]:
+        """The encoding of each piece, put together from those of its words."""
         split = [self.words(p) for p in pieces]
-        words = {w for found in split for w in found if isinstance(w, str)}
-        spelt = sorted((self.ended(w), w) for w in words)
-        short = [(s, w) for s, w in spelt if len(s) <= LONGEST_WORD]
-        ends = self.trie.traverse([s for s, _ in short])
-        ids = {w: self.trie.tokens(end) for (_, w), end in zip(short, ends)}
-        for s, w in spelt:
-            if len(s) > LONGEST_WORD:
-                alone = Trie(self.merges)
-                ids[w] = alone.tokens(alone.traverse([s])[0])
-        return [[t for w in found for t in (ids[w] if isinstance(w, str) else [w])] for found in split]
-
-    def remembered(self, pieces: list[str]) -> dict[str, tuple[int, str, str]]:
-        """Number of tokens, ids and decoded strings, as text joined by blanks, of each piece and others seen before."""
+        known = self.worded(set(chain.from_iterable(split)))
+        answers = []
+        for words in split:
+            if len(words) == 1:
+                answers.append(known[words[0]])
+            else:
+                parts = [known[w] for w in words]
+                answers.append((sum(n for n, _, _ in parts), " ".join([ids for _, ids, _ in parts]), " ".join([s for _, _, s in parts])))
+        return answers
+
+    def remembered(self, pieces: list[str]) -> dict[str, Encoded]:
+        """The encoding of each piece and of others seen before."""
         if len(self.known) > MOST_PIECES:
             self.known = {}
         new = [p for p in pieces if p not in self.known]
-        for piece, ids in zip(new, self.encode(new)):
-            self.known[piece] = len(ids), " ".join(map(str, ids)), " ".join(map(self.strings.__getitem__, ids))
+        self.known.update(zip(new, self.encodings(new)))
         return self.known
 
     def forget(self, pieces: list[str]) -> None:

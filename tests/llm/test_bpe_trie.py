@@ -110,3 +110,24 @@ def test_no_search_for_cycles_while_a_task_encodes():
         for n in range(20):
             encoder.forget([*encoder.remembered([f"word{n}{k}, <|endoftext|>é{k}" for k in range(200)])])
         assert gc.collect() < 100
+
+
+def test_known_words_are_not_walked_again(library, monkeypatch):
+    """A word met in another piece is taken from memory, whatever stands around it; only new words reach the trie."""
+    walked, traverse = [], bpe_trie.Trie.traverse
+    monkeypatch.setattr(bpe_trie.Trie, "traverse", lambda trie, words: (walked.extend(words), traverse(trie, words))[1])
+    encoder = bpe_trie.Encoder(PATH)
+    long = "z" * 300
+    for pieces in (["unheard", "of", "<|endoftext|>"], ["Unheard,", "(of)", "unheard<|endoftext|>of", long], ["\u3000", long, "of."]):
+        known = encoder.remembered(pieces)
+        for p, e in zip(pieces, library.encode_batch(pieces, add_special_tokens=False)):
+            assert known[p] == (len(e.ids), " ".join(map(str, e.ids)), " ".join(e.tokens))
+        encoder.forget(pieces)
+    assert [walked.count(encoder.ended(w)) for w in ("unheard", "of", ",", ".", long)] == [1, 1, 1, 1, 2]  # long words are not kept
+
+
+def test_grown_tokens_are_the_vocabulary_s():
+    """A token and a symbol name the entry that spells both, from the empty text (-1) on."""
+    merges = bpe_trie.Encoder(PATH).merges
+    assert all(merges.spelt[n] == (merges.spelt[k >> 21] if k >= 0 else "") + chr(k & 0x1FFFFF) for k, n in merges.grown.items())
+    assert sum(k < 0 for k in merges.grown) == sum(len(s) == 1 for s in merges.ids)
