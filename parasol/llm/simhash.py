@@ -111,7 +111,8 @@ def link_fingerprints(nodes: DataFrame, max_bits: int) -> DataFrame:
     ends = keyed.groupBy("key").agg(F.min("fp").alias("first"), F.max("fp").alias("last")).where("first <> last")
     to_first = (F.col("fp") != F.col("first")) & _near("fp", "first", max_bits)
     to_last = (F.col("fp") != F.col("last")) & _near("fp", "last", max_bits)
-    stars = keyed.alias("k").join(ends.alias("e"), (F.col("k.key") == F.col("e.key")) & (to_first | to_last))
+    # Spark takes the exploded rows for a 64th of what they are and would send them out, so it is told to sort and merge.
+    stars = keyed.alias("k").join(ends.hint("merge").alias("e"), (F.col("k.key") == F.col("e.key")) & (to_first | to_last))
     both = F.explode(F.array("first", "last")).alias("end")
     stars = stars.select("fp", both).where((F.col("fp") != F.col("end")) & _near("fp", "end", max_bits))
     coarse = components(stars.select(*_edges("fp", "end")).distinct(), "simhash-stars")
@@ -127,10 +128,10 @@ def link_fingerprints(nodes: DataFrame, max_bits: int) -> DataFrame:
     keyed = rooted.select(F.explode(variants(F.col("fp"), max_bits)).alias("key"), "fp", "root", "class")
     mixed = keyed.groupBy("key").agg(F.max("class").alias("pivot"), F.min("class").alias("low"), F.count("*").alias("n"))
     mixed = mixed.where("pivot <> low AND n > 3").select("key", "pivot")
-    rest = keyed.alias("k").join(mixed.alias("m"), (F.col("k.key") == F.col("m.key")) & (F.col("class") < F.col("pivot")))
+    rest = keyed.alias("k").join(mixed.hint("merge").alias("m"), (F.col("k.key") == F.col("m.key")) & (F.col("class") < F.col("pivot")))
     rest = rest.select(F.col("k.key").alias("key"), F.col("fp").alias("fp_a"), F.col("root").alias("root_a"))
     cross = rest.alias("a").join(
-        keyed.alias("b"),
+        keyed.hint("merge").alias("b"),
         (F.col("a.key") == F.col("b.key")) & (F.col("root_a") != F.col("root")) & _near("fp_a", "fp", max_bits))
     bridges = cross.select(*_edges("root_a", "root")).distinct()
     return components(coarse.select(F.col("node").alias("hi"), F.col("root").alias("lo")).unionAll(bridges), "simhash-links")

@@ -126,3 +126,17 @@ def test_near_duplicates_of_odd_rows(spark):
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({min(v) for v in least.values()})
     assert simhash.drop_near_duplicates(nothing(spark)).count() == 0
+
+
+def sent_out(plan, sides):
+    chosen = plan._jdf.queryExecution().sparkPlan().toString()
+    return [line for line in chosen.splitlines() if f"BroadcastHashJoin [{sides}" in line]
+
+
+def test_exploded_fingerprints_are_not_sent_out(spark, monkeypatch):
+    """Spark sizes exploded rows by the rows before, so a few megabytes of fingerprints went to the driver 64 times over."""
+    plans, found = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda edges, name: plans.append(edges) or found(edges, name))
+    nodes = spark.range(3000).selectExpr("xxhash64(id div 3) + id % 3 AS fp", "id AS least").localCheckpoint()
+    assert simhash.link_fingerprints(nodes, 4).count() > 0
+    assert len(plans) == 2 and not any(sent_out(p, "key") for p in plans)
