@@ -60,7 +60,8 @@ def split_buckets(hashes: DataFrame, capacity: int, bits: int) -> tuple[DataFram
                & ((F.col("depth") == 0) | (F.col("n_above") > capacity)))
         .select("depth", "prefix", "n_hashes")
     )
-    owners = paths.join(leaves.select("depth", "prefix"), ["depth", "prefix"]).select("cell", "depth", "prefix")
+    # Merged: Spark takes the exploded paths for one row a cell and would send them out.
+    owners = paths.join(leaves.select("depth", "prefix").hint("merge"), ["depth", "prefix"]).select("cell", "depth", "prefix")
     return leaves, owners
 
 

@@ -140,3 +140,8 @@ def test_exploded_fingerprints_are_not_sent_out(spark, monkeypatch):
     nodes = spark.range(3000).selectExpr("xxhash64(id div 3) + id % 3 AS fp", "id AS least").localCheckpoint()
     assert simhash.link_fingerprints(nodes, 4).count() > 0
     assert len(plans) == 2 and not any(sent_out(p, "key") for p in plans)
+
+
+def test_exploded_paths_are_not_sent_out(spark):
+    _, owners = exact_dedup.split_buckets(spark.range(500).selectExpr("xxhash64(id) AS hash").localCheckpoint(), 4, 8)
+    assert not [line for line in sent_out(owners, "depth") if "above" not in line]
