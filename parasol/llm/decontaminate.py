@@ -45,6 +45,7 @@ ship_by_value(__name__)
 
 WINDOW = 13
 SEGMENT_BYTES = 8 << 20
+FILE_SEGMENTS = 4  # Spark's Parquet reader holds up to 4,096 rows of a file at once, a whole file of segments
 PART_BYTES = 2 << 20
 WORD_BYTES = byte_class(lambda c: c.islower() or c.isdigit())
 
@@ -87,7 +88,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     schema = (f"segment string, id array<{kind}>, {ROW_KEY[0]} array<bigint>, {ROW_KEY[1]} array<bigint>, "
               "starts array<bigint>, n_words array<bigint>, terms array<string>, counts array<bigint>, postings binary")
     path = scratch_path(docs.sparkSession, "positional-index")
-    rows.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(run, schema).write.option("compression", "zstd").option("maxRecordsPerFile", FILE_SEGMENTS).parquet(path)
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 

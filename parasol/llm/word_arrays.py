@@ -32,7 +32,8 @@ def _raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _coded(raw: np.ndarray, kept: np.ndarray, begins: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     starts = np.flatnonzero(begins)
-    rank = np.concatenate([[0], np.cumsum(kept)])  # of each byte among those kept
+    rank = np.zeros(len(kept) + 1, np.int32 if len(kept) < 1 << 31 else np.int64)  # of each byte among those kept
+    np.cumsum(kept, out=rank[1:])
     offsets = np.append(rank[starts], rank[-1]).astype(np.int64)
     coded = pa.LargeStringArray.from_buffers(
         len(starts), pa.py_buffer(offsets), pa.py_buffer(raw[kept].tobytes())).dictionary_encode()

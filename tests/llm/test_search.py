@@ -4,6 +4,7 @@ import random
 
 import pytest
 from odd import TEXTS, documents, nothing
+from pyspark.sql import functions as F
 
 from parasol.llm import decontaminate
 from parasol.llm.queries import op1
@@ -63,3 +64,13 @@ def test_odd_rows_and_empty_tables(spark):
 def test_query_has_one_row_per_document(spark):
     found = op1(spark, "/root/testdata/sf0.001")
     assert found.count() == 200 and found.where("contaminated and n_items = 0").count() == 0
+
+
+def test_a_file_of_the_index_holds_few_segments(spark, monkeypatch):
+    """Spark reads up to 4,096 rows of a file at once, so a file must not hold all segments of a large task."""
+    monkeypatch.setattr(decontaminate, "SEGMENT_BYTES", 100)
+    docs = spark.range(60).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 20) AS text").coalesce(1)
+    index = decontaminate.build_index(docs).select("segment", "id", F.input_file_name().alias("file"))
+    held = index.groupBy("file").agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in held) > 20 and max(r.n for r in held) <= decontaminate.FILE_SEGMENTS
+    assert sorted(x for r in index.collect() for x in r.id) == list(range(60))
